@@ -25,6 +25,24 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", *(m[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), failed.alias("base_failed"), F.col("failed_rule").isNull().alias("kept"))
 
 
+#: The rules that the query is asked to judge by.
+URL_RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
+
+
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rdfloom.llm import urls
+
+    out = urls.judge(table(spark, sf_dir, "pages"), tuple(urls.Rule.of(*r) for r in URL_RULES))
+    return out.select(F.col("key").alias("page_id"), "host", "path", "rule", "verdict", "score")
+
+
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rdfloom.llm import html_extract
+
+    out = html_extract.extract(table(spark, sf_dir, "pages"), html_extract.default_model())
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rdfloom.llm import simhash
 
@@ -40,6 +58,29 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.when(F.col("removed_lines").isNull(), 0).otherwise(gone).cast("long").alias("n_removed"), F.length("text").cast("long").alias("clean_chars"), F.md5("text").alias("clean_md5"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rdfloom.llm import warc
+
+    got = warc.roundtrip(table(spark, sf_dir, "pages"))
+    about, key = F.col("metadata.block"), "capture-key"
+    own = got.select("record_id", warc.fields(about, key).alias("page_id"), warc.fields(about, "payload-length").alias("payload_bytes"), F.regexp_replace("response.digest", "^sha1:", "").alias("payload_digest"), F.col("response.type").alias("record_type"), F.col("response.refers_to").alias("to"))
+    own = cut(own)
+    first = own.where("record_type = 'response'").select(F.col("record_id").alias("to"), F.col("page_id").alias("refers_to"))
+    return own.join(first, "to", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rdfloom.llm import toxicity
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    labels = table(spark, sf_dir, "labels").where(~held_out)
+    rows = toxicity.training_rows(docs, labels)
+    model = toxicity.fit([r.t for r in rows], [r.y for r in rows])
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "offending")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rdfloom.llm import decontam
 
@@ -50,6 +91,13 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("item_ids").isNotNull().alias("contaminated"), F.coalesce("item_ids", F.array().cast("array<long>")).alias("item_ids"), F.coalesce("longest", F.lit(0).cast("long")).alias("longest"))
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rdfloom.llm import lmscore
+
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return lmscore.score(table(spark, sf_dir, "documents"), good)
+
+
 def queries() -> dict:
     found = {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
