@@ -101,3 +101,9 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     found = {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
+
+
+def oracle_sql() -> dict:
+    from rdfloom.llm import sql
+
+    return dict(sql.ORACLES)
