@@ -7,11 +7,12 @@ target loss less background loss (low: like the target).
 
     P(w | h) = (c(h, w) + MU * P(w)) / (c(h) + MU),    P(w) = (c(w) + 1) / (N + V)
 
-The vocabulary is the vocab_size - 1 most frequent words of all documents (ties by
-the word); other words are one unknown word. All counts run over all documents.
+The vocabulary holds the most frequent words of all documents: whole classes of
+equal (or, above 4,096, nearly equal) counts as long as they fit vocab_size - 1
+words; other words are one unknown word. All counts run over all documents.
 Texts become arrays of 2-byte word ids once; everything later reads those.
 
-The HEAD most frequent bigrams (a fixed number) are broadcast with their loss
+The most frequent bigrams (classes of counts again, at most HEAD) are broadcast with their loss
 differences and scored inside the scan. The others are joined with the table of
 bigram counts, which is never gathered: it grows with the corpus. A bigram that a
 third of the documents has is in the head, so that the join has no hot key.
@@ -30,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rdfloom.llm.common import fresh_path
@@ -58,11 +59,29 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"w": list(held), "n": list(held.values())})
 
 
+def _class(n: Column) -> Column:
+    """Class of a count: the count itself up to 4,096, then 256 classes an octave (some 20,000 in all)."""
+    return F.when(n <= 4096, n).otherwise(4096 + F.floor((F.log2(n) - 12) * 256)).cast("int")
+
+
+def most_frequent(counts: DataFrame, n: str, most: int) -> DataFrame:
+    """Rows of the highest classes of counts, as many whole classes as fit most rows. Only the classes' sizes reach the driver."""
+    total, least = 0, None
+    for r in sorted(counts.groupBy(_class(F.col(n)).alias("c")).count().collect(), reverse=True):
+        total += r["count"]
+        if total > most:
+            break
+        least = r.c
+    return counts.where(_class(F.col(n)) >= least if least is not None else F.lit(False))
+
+
 def vocabulary(docs: DataFrame, text: str = "text", size: int = VOCAB) -> dict[bytes, int]:
-    """word -> id from 1; 0 is any other word. Bounded by size."""
+    """word -> id from 1, the most frequent first; 0 is any other word. Bounded by size."""
+    at = fresh_path(docs.sparkSession, "lm-words")
     counts = docs.select(F.col(text).alias("t")).mapInPandas(_count, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "w").limit(size - 1).collect()
-    return {bytes(r.w): i + 1 for i, r in enumerate(top)}
+    counts.write.parquet(at)
+    top = most_frequent(docs.sparkSession.read.parquet(at), "n", size - 1).collect()
+    return {w: i + 1 for i, (_, w) in enumerate(sorted((-r.n, bytes(r.w)) for r in top))}
 
 
 def _codes(ids: np.ndarray, vocab: int) -> np.ndarray:
@@ -130,7 +149,7 @@ def score(docs: DataFrame, target_ids: DataFrame, doc_id: str = "doc_id", text:
         return out
 
     losses = Losses(vocab_size, gathered(F.expr(f"code div {vocab_size}"), vocab_size + 1), gathered(F.col("code") % vocab_size, vocab_size), mu)
-    top = counts.orderBy(F.desc("b"), "code").limit(head).toPandas().sort_values("code")
+    top = most_frequent(counts, "b", head).toPandas().sort_values("code")
     top_codes = top["code"].to_numpy(np.int64)
     top_loss = losses.difference(top_codes, top["b"].to_numpy(), top["t"].to_numpy()) if len(top) else np.zeros(0)
     shipped = spark.sparkContext.broadcast((losses, top_codes, top_loss))
