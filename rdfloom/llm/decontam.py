@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,15 +55,18 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+_FACTORS = np.array([xxhash.xxh64_intdigest(str(i)) | 1 for i in range(SPAN)], dtype=np.uint64)
+
+
 def seeds(t: np.ndarray, short: tuple[int, ...] = ()) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(positions, hashes) of each mask; short: lengths below SPAN that are seeded by all tokens."""
     for k, places in [*enumerate(MASKS), *((100 + n, tuple(range(n))) for n in short)]:
         n = len(t) - places[-1]
         if n > 0:
             h = np.full(n, k + 1, dtype=np.uint64)
-            for p in places:
-                h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + t[p : p + n])
-            yield np.arange(n, dtype=np.int32), h
+            for c, p in enumerate(places):  # a sum of products of token hashes, an odd factor for each place
+                h += t[p : p + n] * _FACTORS[c]
+            yield np.arange(n, dtype=np.int32), _mix(h)
 
 
 def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
