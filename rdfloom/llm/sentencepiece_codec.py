@@ -37,6 +37,8 @@ from pyspark.sql import types as T
 from rdfloom.llm.common import free_name
 
 MARK = "▁"
+#: Characters at a word's start whose states are remembered.
+HEAD = 5
 #: Piece kinds and model kinds of the file format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -96,7 +98,7 @@ class Remembered(dict):
 class Codec:
     """Encoder and decoder of one model file."""
 
-    def __init__(self, model: bytes, bound: int = 400_000):
+    def __init__(self, model: bytes, bound: int = 250_000):
         self.kind, self.byte_fallback, self.unknown = UNIGRAM, False, 0
         self.dummy, self.squeeze, self.escape = True, True, True
         self.pieces: list[tuple[str, float, int]] = []
@@ -131,9 +133,14 @@ class Codec:
                 self.bytes_of.append(p.replace(MARK, " ").encode())
                 if k != UNUSED:
                     self.id_of[p] = i
+        self.sizes = [len(p) for p, _, _ in self.pieces]
+        self._lengths = np.array([len(b) for b in self.bytes_of], dtype=np.int64)
+        self._starts = np.cumsum(self._lengths) - self._lengths
+        self._blob = np.frombuffer(b"".join(self.bytes_of), dtype=np.uint8)
         scores = [s for _, s, k in self.pieces if k == NORMAL]
         self.unknown_score = min(scores, default=0.0) - 10.0
         self._pairs = 0
+        self._heads: dict[str, list[int]] = {}
         self.bound = bound
         self._words = Remembered(self._ids, bound)
         # a BPE piece that merging its own characters doesn't give is never part of a result
@@ -199,22 +206,35 @@ class Codec:
         """BPE, one pass over a text of known characters: the one piece that fits at each end (longest first)."""
         n = len(text)
         last = [-1] * (n + 1)  # the piece that ends there; the extra one, at -1, is the start
-        size = [0] * n
+        if n > 2 * HEAD:  # what ends early depends on the first characters alone, which many words share
+            head = text[:HEAD]
+            known = self._heads.get(head)
+            if known is None:
+                if len(self._heads) >= self.bound // 4:
+                    self._heads.clear()
+                known = [-1] * (HEAD + 1)
+                self._relax(head, known)
+                known.pop()
+                self._heads[head] = known
+            last[:HEAD] = known
+        self._relax(text, last)
+        out, end, sizes = [], n - 1, self.sizes
+        while end >= 0:
+            i = last[end]
+            out.append(i)
+            end -= sizes[i]
+        out.reverse()
+        return out
+
+    def _relax(self, text: str, last: list[int]) -> None:
         for end, found in self.automaton.iter(text):
-            if size[end]:
+            if last[end] >= 0:
                 continue
             i, length, known = found
             left = last[end - length]
             ok = known.get(left)
             if ok or ok is None and self._fits(left, i, known):
                 last[end] = i
-                size[end] = length
-        out, end = [], n - 1
-        while end >= 0:
-            out.append(last[end])
-            end -= size[end]
-        out.reverse()
-        return out
 
     def _scored(self, text: str) -> list[int]:
         """Unigram, one pass: each piece that ends at a position relaxes its best score; an uncovered character costs unknown_score."""
@@ -269,6 +289,18 @@ class Codec:
 
     # -- decoding
 
+    def decode_all(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
+        """Texts of arrays of ids that lie one after the other; ends: where each ends."""
+        lengths = self._lengths[ids]
+        stops = np.concatenate([[0], np.cumsum(lengths)])
+        blob = self._blob[np.repeat(self._starts[ids] - stops[:-1], lengths) + np.arange(stops[-1])].tobytes()
+        out, at = [], 0
+        for stop in stops[ends].tolist():
+            text = blob[at:stop].decode("utf-8", "replace")
+            out.append(text[1:] if self.dummy and text.startswith(" ") else text)
+            at = stop
+        return out
+
     def decode(self, ids) -> str:
         text = b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if self.dummy and text.startswith(" ") else text
@@ -321,6 +353,8 @@ def decode(rows: DataFrame, ids: str = "piece_ids", model: str | None = None, na
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                yield _column(part, name, pa.array([codec.decode(x.values.to_pylist()) if x.is_valid and len(x.values) else "" for x in part.column(ids)], pa.string()))
+                lists = part.column(ids)
+                sizes = np.array([len(x.values) if x.is_valid else 0 for x in lists], dtype=np.int64)
+                yield _column(part, name, pa.array(codec.decode_all(lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(sizes)), pa.string()))
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(name, T.StringType())]))
