@@ -122,7 +122,7 @@ BASE = (
 RULES = (
     *BASE,
     Rule("symbols", lambda t, m: 10 * m["n_symbols"] > m["n_words"]),
-    Rule("word_length", lambda t, m: ~(m["word_chars"] / m["n_words"]).between(2.5, 15)),
+    Rule("word_length", lambda t, m: (2 * m["word_chars"] < 5 * m["n_words"]) | (m["word_chars"] > 15 * m["n_words"])),
     Rule("duplicate_lines", lambda t, m: (m["n_dup_lines"] > 3) & (10 * m["n_dup_lines"] > 3 * F.size(F.split(t, "\n")))),
     Rule("shouting", lambda t, m: 2 * F.regexp_count(t, F.lit(r"\p{Lu}")) > m["word_chars"]),
     Rule("few_letters", lambda t, m: 10 * F.regexp_count(t, F.lit(r"[!-@\[-`{-~]")) > 4 * m["word_chars"]),

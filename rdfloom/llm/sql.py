@@ -17,7 +17,7 @@ m AS (SELECT d.doc_id, t, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[
   FROM d JOIN lines USING (doc_id) LEFT JOIN rep USING (doc_id)),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT (10 * n_symbols > n_words OR word_chars / n_words NOT BETWEEN 2.5 AND 15 OR n_dup_lines > 3 AND 10 * n_dup_lines > 3 * n_lines
+  NOT base_failed AND NOT (10 * n_symbols > n_words OR 2 * word_chars < 5 * n_words OR word_chars > 15 * n_words OR n_dup_lines > 3 AND 10 * n_dup_lines > 3 * n_lines
   OR 2 * upper > word_chars OR 10 * signs > 4 * word_chars OR 10 * dots > 3 * n_lines OR 10 * bullets > 9 * n_lines) AS kept
 FROM f
 """
