@@ -1 +1 @@
-
+"""Terms, values and expressions."""

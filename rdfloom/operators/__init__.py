@@ -1 +1 @@
-
+"""Operators on solutions."""

@@ -1 +1 @@
-
+"""Where triples come from."""
