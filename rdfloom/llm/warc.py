@@ -16,8 +16,9 @@ per capture. Ids are unique, so that no join key is hot.
 
 Defined cases: a null payload is an empty one; payloads of fewer bytes than
 min_bytes are always responses. Null urls are written as an empty target. Rows with
-a null key can't be referred to and are left out. Of rows that share a key all are
-captures of their own, and take part under that key. An empty table writes no
+a null key can't be referred to and are left out. Rows that share a key are captures
+of their own under that key; of rows that share payload and key too, the first (by
+url) stands for the group and the others revisit it. An empty table writes no
 archive and reads as no rows. Other columns are ignored.
 """
 
@@ -30,7 +31,7 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rdfloom.llm.common import cut, fresh_path
@@ -64,16 +65,16 @@ def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Archives (rows of bytes) of the captures of a partition."""
     held, size = [], 0
     for rows in batches:
-        for key, name, url, payload, sha, first, first_name in zip(*(rows[c] for c in ("key", "name", "url", "payload", "sha", "first", "first_name"))):
-            payload, url = payload or b"", url or ""
+        for key, copy, url, payload, sha, last in zip(*(rows[c] for c in ("key", "copy", "url", "payload", "sha", "last"))):
+            payload, url, name = payload or b"", url or "", f"{key}/{sha}/{copy}"
             response, request = record_id("response", name), record_id("request", name)
             b32 = "sha1:" + base64.b32encode(bytes.fromhex(sha)).decode()
             http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-            if pd.isna(first):
+            if pd.isna(last) or (key, copy) == (last, 0):
                 held.append(record("response", response, http + payload, "application/http; msgtype=response", url, WARC_Payload_Digest=b32))
             else:
                 profile = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-                held.append(record("revisit", response, http, "application/http; msgtype=response", url, WARC_Payload_Digest=b32, WARC_Profile=profile, WARC_Refers_To=record_id("response", first_name)))
+                held.append(record("revisit", response, http, "application/http; msgtype=response", url, WARC_Payload_Digest=b32, WARC_Profile=profile, WARC_Refers_To=record_id("response", f"{int(last)}/{sha}/0")))
             host, _, path = url.partition("://")[2].partition("/")
             asked = f"GET /{path} HTTP/1.1\r\nHost: {host}\r\n\r\n".encode("utf-8", "surrogatepass")
             held.append(record("request", request, asked, "application/http; msgtype=request", url, WARC_Concurrent_To=response))
@@ -91,13 +92,21 @@ def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", p
     """Write the captures of pages as archives under path; payload: text (as UTF-8) or bytes."""
     own = pages.select(F.col(key).cast("long").alias("key"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(payload).cast("binary"), F.lit(b"")).alias("payload")).where("key is not null")
     own = own.withColumn("sha", F.sha1("payload"))
-    # names tell captures of one key apart; of equal rows too
-    name = F.concat_ws("/", F.col("key"), F.xxhash64("url"), F.monotonically_increasing_id())
-    one = cut(own.select("key", "sha", F.octet_length("payload").alias("n"), name.alias("name")))
-    last = one.where(F.col("n") >= min_bytes).groupBy("sha").agg(F.max(F.struct("key", "name")).alias("last"))
-    firsts = one.join(last, "sha", "left").select("name", F.when(F.col("last.name") != F.col("name"), F.col("last.key")).alias("first"), F.col("last.name").alias("first_name"))
-    rows = own.withColumn("name", name).join(firsts, "name")
-    packed = rows.select("key", "name", "url", "payload", "sha", "first", "first_name").mapInPandas(_pack, "archive binary")
+    # captures are named by key, digest and copy: the same name every time that a lost task runs again
+    counted = own.groupBy("sha", "key").agg(F.count(F.lit(1)).alias("copies"), F.min(F.octet_length("payload")).alias("n"))
+    counted = cut(counted)
+    last = counted.where(F.col("n") >= min_bytes).groupBy("sha").agg(F.max("key").alias("last"))
+    about = cut(counted.join(last, "sha", "left").select("sha", "key", "copies", "last"))
+    rows = own.join(about, ["sha", "key"])
+    columns = ["key", "copy", "url", "payload", "sha", "last"]
+    single = rows.where("copies = 1").withColumn("copy", F.lit(0)).select(*columns)
+    if not about.where("copies > 1").isEmpty():
+        # repeated rows are counted first, so that a payload moves once for each group of them
+        some = rows.where("copies > 1").groupBy("sha", "key", "url", "last").agg(F.count(F.lit(1)).alias("m"), F.first("payload").alias("payload"))
+        before = F.coalesce(F.sum("m").over(Window.partitionBy("sha", "key").orderBy("url").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        some = some.withColumn("before", before).withColumn("copy", F.explode(F.sequence(F.col("before").cast("int"), (F.col("before") + F.col("m") - 1).cast("int"))))
+        single = single.unionByName(some.select(*columns))
+    packed = single.mapInPandas(_pack, "archive binary")
     # a binary value read as a string is written as it is; the separator closes the last record
     packed.select(F.col("archive").cast("string")).write.option("lineSep", END.decode()).option("maxRecordsPerFile", 1).option("compression", compression).text(path)
 
