@@ -31,7 +31,7 @@ class Compiler:
     """source: MappedTables or TripleTable. max_cross: bytes that Catalyst may expect of the smaller side of a product of unrelated patterns."""
 
     def __init__(self, spark: SparkSession, source, max_cross: int = 64 << 20, paths: dict | None = None):
-        self.spark, self.source, self.max_cross, self.materialised = spark, source, max_cross, paths or {}
+        self.spark, self.source, self.max_cross, self.materialised, self.counter = spark, source, max_cross, paths or {}, 0
 
     # -- patterns
 
@@ -52,7 +52,9 @@ class Compiler:
             x = self.pattern(p.of, scope)
             if p.var in x.types:
                 raise QueryError(f"?{p.var} is bound already")
-            return self.extend(x, p.var, x.expressions(self.exists_in(x, scope)).value(p.expr))
+            names = list(x.types)
+            x, exists = self.flags(x, [p.expr], scope)
+            return self.extend(x, p.var, x.expressions(exists).value(p.expr)).only([*names, p.var])
         if isinstance(p, Graph):
             inner = changed(scope, graph=p.name.value, var=None) if isinstance(p.name, Iri) else changed(scope, graph=None, var=p.name.name)
             if p.of == UNIT:
@@ -165,25 +167,29 @@ class Compiler:
             else:
                 rest.append(c)
         if rest:
-            # EXISTS inside a larger condition becomes flags first
-            flags: dict = {}
-            for c in rest:
-                for e in self.found_exists(c):
-                    if e not in flags:
-                        x, flags[e] = self.flagged(x, e, scope)
+            names = list(x.types)
+            x, exists = self.flags(x, rest, scope)
             df = x.df
             for c in rest:
-                df = df.where(x.expressions(lambda e: flags[e]).truth(c))
-            x = Solution(df, x.types, x.certain)
+                df = df.where(x.expressions(exists).truth(c))
+            x = Solution(df, x.types, x.certain).only(names) if len(x.types) > len(names) else Solution(df, x.types, x.certain)
         return x
 
-    @staticmethod
-    def found_exists(e) -> list[Exists]:
-        return [e] if isinstance(e, Exists) else [x for c in children(e) for x in Compiler.found_exists(c)]
+    def flags(self, x: Solution, exprs: list, scope: Scope):
+        """x with a flag for each EXISTS inside the expressions, and what looks them up."""
+
+        def found(e) -> list[Exists]:
+            return [e] if isinstance(e, Exists) else [y for c in children(e) for y in found(c)]
+
+        flags: dict = {}
+        for e in [y for c in exprs for y in found(c)]:
+            if e not in flags:
+                x, flags[e] = self.flagged(x, e, scope)
+        return x, lambda e: flags[e]
 
     def exists_in(self, x: Solution, scope: Scope):
         def no(_: Exists) -> Column:
-            raise UnsupportedError("EXISTS is supported in FILTER only")
+            raise UnsupportedError("EXISTS is not supported in keys and aggregates")
 
         return no
 
@@ -207,7 +213,8 @@ class Compiler:
         shared = [n for n in y.types if n in x.types]
         if outer is not None or not all(n in x.certain and n in y.certain for n in shared):
             raise UnsupportedError("EXISTS inside a larger condition takes no outer filter and no unbound variable")
-        flag = f"_flag{len(x.types)}_{abs(hash(e)) % 10**8}"
+        self.counter += 1
+        flag = f"_flag{self.counter}"
         own = y.only(shared)
         mark = Solution((own.df.distinct() if shared else own.df.limit(1)).withColumn(name_of(flag), F.lit(True)), {**own.types, flag: lit_type("http://www.w3.org/2001/XMLSchema#boolean")}, own.certain | {flag})
         out = left_join(x, mark)
@@ -234,7 +241,8 @@ class Compiler:
             names.sort(key=lambda n: ranked.index(n) if n in ranked else len(ranked))
         for n, e in items:
             if e is not None:
-                v = x.expressions(self.exists_in(x, scope)).value(e)
+                x, exists = self.flags(x, [e], scope)
+                v = x.expressions(exists).value(e)
                 x = self.extend(Solution(x.df.drop(name_of(n)), {k: t for k, t in x.types.items() if k != n}, x.certain - {n}), n, v)
             elif n not in x.types:  # never bound
                 x = self.extend(x, n, Val(TERM, F.lit(None).cast("string")))

@@ -55,6 +55,9 @@ def test_exists_and_minus(people):
     assert ask(people, "SELECT ?x { ?x :type :P MINUS { ?x :phone ?t } }") == [("a",), ("c",)]
     assert len(ask(people, "SELECT ?x { ?x :type :P MINUS { ?y :phone ?t } }")) == 3
     assert ask(people, "SELECT ?x { ?x :type :P FILTER(EXISTS { ?x :phone ?t } || ?x = :c) }") == [("b",), ("c",)]
+    yes, no = ('"%s"^^<http://www.w3.org/2001/XMLSchema#boolean>' % x for x in ("true", "false"))
+    assert ask(people, "SELECT ?x ?has { ?x :type :P BIND(EXISTS { ?x :phone ?t } AS ?has) }") == [("a", no), ("b", yes), ("c", no)]
+    assert ask(people, "SELECT ?x (NOT EXISTS { ?x :mail ?t } AS ?none) { ?x :type :P }") == [("a", no), ("b", no), ("c", yes)]
 
 
 def test_union_aligns_columns(people):
