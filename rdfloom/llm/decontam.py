@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rdfloom.llm.common import WordHashes, cut
+from rdfloom.llm.common import WordHashes, cut, free_name
 
 SPAN = 11
 #: Positions that count; the ends always do.
@@ -179,5 +179,6 @@ def find(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: st
 
 def clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **rest) -> DataFrame:
     """The documents without any verified overlap, with the columns of docs."""
-    bad = cut(find(docs, benchmark, doc_id, text, **rest).select(F.col("doc_id").alias("_bad_id")).distinct())
-    return docs.join(bad, docs[doc_id].cast("long") == bad["_bad_id"], "left_anti")
+    key = free_name(docs, "_bad_id")
+    bad = cut(find(docs, benchmark, doc_id, text, **rest).select(F.col("doc_id").alias(key)).distinct())
+    return docs.join(bad, F.col(doc_id).cast("long") == F.col(key), "left_anti")

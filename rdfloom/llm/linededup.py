@@ -52,7 +52,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: in
     """docs with repeated windows cut from the text, and the places of the removed lines (null: none) under a free name."""
     removed, key = free_name(docs, removed), free_name(docs, "_line_id")
     gone = repeated_places(docs, doc_id, text, width).toDF(key, removed)
-    out = docs.join(gone, docs[doc_id] == gone[key], "left").drop(key)
+    out = docs.join(gone, F.col(doc_id) == F.col(key), "left").drop(key)
     lines = F.split(F.col(text), "\n")
     left = F.transform(F.array(lines), lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col(removed)), lambda i: F.get(x, i)), "\n"))[0]
     # array_except of all places is empty and joins to an empty text

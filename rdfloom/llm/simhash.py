@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rdfloom.llm import golay
-from rdfloom.llm.common import cut
+from rdfloom.llm.common import cut, free_name
 from rdfloom.llm.components import components
 
 SEED = 42
@@ -181,9 +181,9 @@ def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     their whole component has null ids.
     """
     found = cluster(docs, doc_id, text, width, max_bits)
-    keep = found.where("component_id = doc_id or component_id is null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
-    keep = cut(keep.withColumnRenamed("doc_id", "_keep_id").withColumnRenamed("rows", "_keep_rows"))
-    stay = docs.join(keep.select("_keep_id"), docs[doc_id].eqNullSafe(F.col("_keep_id")), "left_semi")
-    if keep.where("_keep_id is not null and _keep_rows > 1").isEmpty():
+    keep = cut(found.where("component_id = doc_id or component_id is null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")))
+    key = free_name(docs, "_keep_id")
+    stay = docs.join(keep.select(F.col("doc_id").alias(key)), F.col(doc_id).eqNullSafe(F.col(key)), "left_semi")
+    if keep.where("doc_id is not null and rows > 1").isEmpty():
         return stay
     return stay.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id]).unionByName(stay.where(F.col(doc_id).isNull()))
