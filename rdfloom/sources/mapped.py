@@ -68,16 +68,33 @@ class MappedTables:
             by.setdefault(t.s, []).append(t)
         return list(by.values())
 
+    def bytes_of(self, t: Table) -> int:
+        """Bytes that Catalyst expects of a table, from its files."""
+        if not t.size:
+            t.size = max(1, int(str(self.frame(t)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())))
+        return t.size
+
+    def _having(self, star: list[Triple], scope: Scope) -> list[Table]:
+        own = [t for t in self.tables if scope.allows(t.graph)]
+        return [t for t in own if any(isinstance(x.p, Iri) and (x.p.value in t.props or x.p.value == RDF_TYPE and isinstance(x.o, Iri) and x.o.value == t.cls) for x in star)]
+
+    @staticmethod
+    def _kept(star: list[Triple]) -> float:
+        """Share of the rows that a star's constants are expected to leave."""
+        return 100.0 ** -(sum(not isinstance(x.o, Var) and x.p != Iri(RDF_TYPE) for x in star) + 3 * (not isinstance(star[0].s, Var)))
+
     def size(self, star: list[Triple], scope: Scope) -> float:
-        """Bytes that Catalyst expects of the star's tables, less for constants."""
-        total = 0.0
-        for t in self.tables:
-            if scope.allows(t.graph) and any(isinstance(x.p, Iri) and (x.p.value in t.props or x.p.value == RDF_TYPE and isinstance(x.o, Iri) and x.o.value == t.cls) for x in star):
-                if not t.size:
-                    t.size = max(1, int(str(self.frame(t)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())))
-                total += t.size
-        bound = sum(not isinstance(x.o, Var) and x.p != Iri(RDF_TYPE) for x in star) + 3 * (not isinstance(star[0].s, Var))
-        return (total or 1e12) / 100**bound
+        """Expected size of a star, in bytes."""
+        return (sum(map(self.bytes_of, self._having(star, scope))) or 1e12) * self._kept(star)
+
+    def fanout(self, star: list[Triple], var: str, scope: Scope) -> float:
+        """Rows of the star that are expected for a value of var: one for its subject; for a link as many as the tables' sizes say."""
+        if star[0].s == Var(var):
+            return self._kept(star)
+        having = self._having(star, scope)
+        refs = {t.props[x.p.value].ref for x in star if x.o == Var(var) and isinstance(x.p, Iri) for t in having if x.p.value in t.props}
+        linked = sum(self.bytes_of(t) for t in self.tables if t.template in refs)
+        return max(1.0, self.size(star, scope) / (linked or 1e5))
 
     # -- columns
 

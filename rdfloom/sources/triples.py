@@ -69,6 +69,14 @@ class TripleTable:
             return n / (own.objects if not isinstance(t.o, Var) else 1)
         return sum(x.triples for x in self.statistics.values()) / 100 ** (not isinstance(t.s, Var)) / 100 ** (not isinstance(t.o, Var))
 
+    def fanout(self, star: list[Triple], var: str, scope: Scope) -> float:
+        """Triples expected for a value of var."""
+        t, n = star[0], self.size(star, scope)
+        own = self.statistics.get(t.p.value) if isinstance(t.p, Iri) else None
+        if own is None:
+            return n / max(1, len(self.statistics))
+        return n / max(1, own.subjects if t.s == Var(var) else own.objects)
+
     def _rows(self, scope: Scope) -> DataFrame:
         df = self.quads
         if scope.graph is not None:
