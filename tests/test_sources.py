@@ -127,3 +127,16 @@ def test_feed(spark, tmp_path):
     feed.follow(data.source, events, stream, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     got = Dataset.from_quads(spark, spark.read.parquet(str(tmp_path / "out")))
     assert got.query("SELECT (COUNT(?e) AS ?n) { ?e a <http://example.org/tpch/Event> }").df.first().n == 50
+
+
+def test_join_order_avoids_early_products(spark):
+    """Customers and suppliers of a nation are joined through the lines that relate them."""
+    from rdfloom import suite
+    from rdfloom.plans.parser import parse
+    from rdfloom.sources.scope import Scope
+
+    data = Dataset.from_tables(spark, mapping.tables(), "/root/testdata/sf0.01")
+    groups = data.source.groups(parse(suite.QUERIES["bgp_triangle_local_supplier"]).where.triples)
+    order = [{t.p.value.rpartition("/")[2] for t in g} for g in data.compiler().ordered(groups, Scope())]
+    place = lambda p: next(i for i, g in enumerate(order) if p in g)
+    assert place("l_order") < max(place("s_nation"), place("c_nation"))
