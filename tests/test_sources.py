@@ -135,7 +135,7 @@ def test_join_order_avoids_early_products(spark):
     from rdfloom.plans.parser import parse
     from rdfloom.sources.scope import Scope
 
-    data = Dataset.from_tables(spark, mapping.tables(), "/root/testdata/sf0.01")
+    data = Dataset.from_tables(spark, mapping.tables(), "/root/testdata/sf0.1")
     groups = data.source.groups(parse(suite.QUERIES["bgp_triangle_local_supplier"]).where.triples)
     order = [{t.p.value.rpartition("/")[2] for t in g} for g in data.compiler().ordered(groups, Scope())]
     place = lambda p: next(i for i, g in enumerate(order) if p in g)
