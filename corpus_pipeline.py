@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rdfloom.llm import decontam, linededup, quality, sentencepiece_codec, simhash
+from rdfloom.llm import decontam, linededup, neardup, quality, sentencepiece_codec
 from rdfloom.llm.common import fresh_path, table
 
 
@@ -19,8 +19,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return simhash.representatives(docs)
+    """One document of each group of near-duplicates: five-word shingles, Jaccard similarity of 0.8 or more."""
+    return neardup.representatives(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,137 @@
+"""Near-duplicates by Jaccard similarity of word shingles.
+
+Texts with equal sets of shingles are one node. Nodes that share a band of MinHashes
+are candidates: at 32 bands of 5 hashes a pair of similarity 0.8 shares none with a
+probability of 3 in a million, a more similar one with less. Each candidate is
+verified on the whole sets of shingles, so that no pair below the bound is linked.
+
+A bucket is first compared with its most central node only (that in the largest
+buckets together), so that a large group of copies costs its size and not its pairs;
+what that leaves in different components is then compared pair by pair. Pairs within
+a component need no comparison: the components are those of all links.
+
+Defined cases: words are runs of non-space bytes, A-Z lower-cased; a text of fewer
+words than a shingle has one shingle of them all. Null texts and texts without words
+have no shingle and are one node. A null id never represents a component that has
+another; a component of null ids only keeps one such row for each set of shingles.
+An empty table gives an empty result; other columns are kept.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from rdfloom.llm.common import cut, free_name
+from rdfloom.llm.components import components
+
+WIDTH, SIMILARITY = 5, 0.8
+BANDS, ROWS = 32, 5
+_RNG = np.random.default_rng(5)
+_FACTORS = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_TERMS = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+_PLACES = np.array([xxhash.xxh64_intdigest(str(i)) | 1 for i in range(ROWS)], dtype=np.uint64)
+
+
+def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
+    """Sorted different 64-bit hashes of a text's word shingles."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    parts = map(b" ".join, zip(*(words[i:] for i in range(width)))) if len(words) >= width else [b" ".join(words)]
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, parts), dtype=np.uint64))
+
+
+def bands(s: np.ndarray) -> np.ndarray:
+    """A 64-bit key for each band of MinHashes."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(s), 1024):
+        h = s[at : at + 1024, None] * _FACTORS + _TERMS
+        least = np.minimum(least, ((h ^ (h >> np.uint64(32))) * np.uint64(0xFF51AFD7ED558CCD)).min(axis=0))
+    h = (least.reshape(BANDS, ROWS) * _PLACES).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)
+    return (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+
+
+def _node(s: np.ndarray) -> int:
+    """Signed hash of a set of shingles."""
+    return int(np.uint64(xxhash.xxh64_intdigest(s.tobytes())).view(np.int64))
+
+
+def _alike(a: Column, b: Column, similarity: float) -> Column:
+    both = F.size(F.array_intersect(a, b))
+    return both >= similarity * (F.size(a) + F.size(b) - both) - 1e-9
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    a, b = (sets.select(F.col("node").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
+    return cut(pairs.join(a, "a").join(b, "b").where(_alike(F.col("sa"), F.col("sb"), similarity)).select("a", "b"))
+
+
+def cluster(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, node, root) for every row of docs: the hash of its set of shingles, and its component."""
+
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            found = [shingles(t, width) for t in rows["t"]]
+            yield pd.DataFrame({"doc_id": rows["doc_id"], "node": [_node(s) for s in found], "n": [len(s) for s in found], "keys": [bands(s).view(np.int64) for s in found]})
+
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            found = [shingles(t, width) for t in rows["t"]]
+            yield pd.DataFrame({"node": [_node(s) for s in found], "s": [s.view(np.int64) for s in found]})
+
+    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t"))
+    kind = source.schema["doc_id"].dataType.simpleString()
+    own = cut(source.mapInPandas(keys, f"doc_id {kind}, node long, n int, keys array<long>"))
+    # equal nodes have equal keys, so that rows of them are one member of a bucket
+    member = own.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    member = member.select("doc_id", "node", "n", F.explode("keys").alias("key"))
+    shared = member.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    member = cut(member.join(shared, "key"))
+    central = member.groupBy("node").agg(F.sum("size").alias("central"), F.first("doc_id").alias("doc_id"))
+    wanted = cut(central.select("doc_id").distinct()).toDF("wanted")
+    sets = source.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi").mapInPandas(hashed, "node long, s array<long>")
+    sets = cut(sets.groupBy("node").agg(F.first("s").alias("s")))
+    member = cut(member.join(central.drop("doc_id"), "node").select("key", "node", "n", "central"))
+
+    fits = F.least("na", "n") >= similarity * F.greatest("na", "n") - 1e-9
+    first = member.groupBy("key").agg(F.max(F.struct("central", "node", "n")).alias("m")).select("key", F.col("m.node").alias("a"), F.col("m.n").alias("na"))
+    pair = (F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
+    tried = cut(member.join(first, "key").where((F.col("a") != F.col("node")) & fits).select(*pair).distinct())
+    links = _verified(tried, sets, similarity)
+
+    roots = components(links).toDF("node", "root")
+    labelled = cut(member.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root")))
+    mixed = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+    mixed = cut(labelled.join(mixed, "key"))
+    others = mixed.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
+    left = mixed.join(others, "key").where((F.col("ra") < F.col("root")) & fits).select(*pair).distinct()
+    links = links.union(_verified(left.join(tried, ["a", "b"], "left_anti"), sets, similarity))
+    roots = components(links).toDF("node", "root")
+    return own.join(roots, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
+
+
+def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
+    """One document of each component: that with the smallest id, with the columns of docs."""
+    found = cluster(docs, doc_id, text, width, similarity)
+    keep = cut(found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("x")).select("x.doc_id", "x.node"))
+    key, own = free_name(docs, "_keep_id"), free_name(docs, "_keep_node")
+    named = docs.join(keep.where("doc_id is not null").select(F.col("doc_id").alias(key)), F.col(doc_id) == F.col(key), "left_semi")
+    single = docs.where(F.col(doc_id).isNotNull()).groupBy(doc_id).count().where("count > 1").isEmpty()
+    if single and keep.where("doc_id is null").isEmpty():
+        return named
+
+    @F.pandas_udf("long")
+    def node(t: pd.Series) -> pd.Series:
+        return pd.Series([_node(shingles(x, width)) for x in t], dtype="int64")
+
+    # rows without an id or with one of several rows are told apart by their shingles
+    marked = named.unionByName(docs.where(F.col(doc_id).isNull())).withColumn(own, node(F.col(text)))
+    chosen = keep.select(F.col("doc_id").alias(key), F.col("node").alias("_node"))
+    marked = marked.join(chosen, F.col(doc_id).eqNullSafe(F.col(key)) & (F.col(own) == F.col("_node")), "left_semi")
+    return marked.dropDuplicates([doc_id, own]).drop(own)

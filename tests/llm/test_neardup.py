@@ -1,0 +1,44 @@
+"""Near-duplicates of the pipeline against all pairs."""
+
+import random
+
+import corpus_pipeline
+from rdfloom.llm import neardup
+
+DOCS = "doc_id long, text string, kept string"
+
+
+def brute(texts):
+    sets = [set(neardup.shingles(t).tolist()) for t in texts]
+    root = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or len(a & b) >= 0.8 * len(a | b):
+                lo, hi = sorted((root[i], root[j]))
+                root = [lo if r == hi else r for r in root]
+    return root
+
+
+def test_near_copies_of_the_pipeline(spark):
+    """Copies at a Jaccard similarity of 0.8 and more differ in up to a dozen of 64 SimHash bits."""
+    rng = random.Random(11)
+    texts = [None, "", "one two", "ONE  two", "a b c d e", "a b c d f"]
+    for _ in range(12):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(60, 400))]
+        texts.append(" ".join(base))
+        for changes in (1, 2, 3, 5, 8, 12):
+            w = list(base)
+            for _ in range(changes):
+                w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(w))
+    want = brute(texts)
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], DOCS)
+    left = corpus_pipeline.near_dedup(spark, docs, "")
+    assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == sorted(set(want))
+    assert neardup.representatives(docs.limit(0)).count() == 0
+
+
+def test_null_and_repeated_ids(spark):
+    rows = [(None, "q w e r t y", "x"), (None, "q w e r t y", "x"), (None, "a s d f g h", "x"), (5, "a s d f g h", "x"), (7, "z x c v b n", "x"), (7, "p o i u y t", "x"), (7, "p o i u y t", "x")]
+    left = neardup.representatives(spark.createDataFrame(rows, DOCS))
+    assert sorted((r.doc_id or 0, r.text) for r in left.collect()) == [(0, "q w e r t y"), (5, "a s d f g h"), (7, "p o i u y t"), (7, "z x c v b n")]
