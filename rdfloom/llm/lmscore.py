@@ -7,15 +7,17 @@ target loss less background loss (low: like the target).
 
     P(w | h) = (c(h, w) + MU * P(w)) / (c(h) + MU),    P(w) = (c(w) + 1) / (N + V)
 
-The vocabulary holds the most frequent words of all documents: whole classes of
-equal (or, above 4,096, nearly equal) counts as long as they fit vocab_size - 1
-words; other words are one unknown word. All counts run over all documents.
-Texts become arrays of 2-byte word ids once; everything later reads those.
-
-The most frequent bigrams (classes of counts again, at most HEAD) are broadcast with their loss
-differences and scored inside the scan. The others are joined with the table of
-bigram counts, which is never gathered: it grows with the corpus. A bigram that a
-third of the documents has is in the head, so that the join has no hot key.
+The vocabulary is every word of the corpus (V counts an unknown one too), so it grows
+with the input. A word is known by a 64-bit hash and never gathered: counts of bigrams,
+contexts and words are tables, and the loss difference of a bigram comes from their
+join. A vocab_size bounds it where a caller wants that: whole classes of equal (or,
+above 4,096, nearly equal) counts as long as they fit vocab_size - 1 words are kept,
+other words are one unknown word.
+
+The most frequent bigrams (classes of counts again, at most HEAD) are broadcast with
+their loss differences and scored inside the scan. The others are joined with the
+table of losses, which is never gathered either. A bigram that a third of the
+documents has is in the head, so that the join has no hot key.
 
 Defined cases: words are runs of non-space bytes, A-Z lower-cased. A null or empty
 text has no token and scores 0. Rows with a null id are counted and get no row of
@@ -34,13 +36,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rdfloom.llm.common import fresh_path
+from rdfloom.llm.common import WordHashes, fresh_path
 
-VOCAB = 16384
+#: Word keys of the place before a text and of words outside of a given vocabulary.
+START, UNKNOWN = 1, 0
 HEAD = 1 << 17
 MU = 50.0
 #: Different words that a task holds before it passes its counts on.
 HELD = 300_000
+_HASHES = WordHashes(10)
 
 
 def words(text: str | None) -> list[bytes]:
@@ -75,7 +79,7 @@ def most_frequent(counts: DataFrame, n: str, most: int) -> DataFrame:
     return counts.where(_class(F.col(n)) >= least if least is not None else F.lit(False))
 
 
-def vocabulary(docs: DataFrame, text: str = "text", size: int = VOCAB) -> dict[bytes, int]:
+def vocabulary(docs: DataFrame, text: str, size: int) -> dict[bytes, int]:
     """word -> id from 1, the most frequent first; 0 is any other word. Bounded by size."""
     at = fresh_path(docs.sparkSession, "lm-words")
     counts = docs.select(F.col(text).alias("t")).mapInPandas(_count, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n"))
@@ -84,106 +88,94 @@ def vocabulary(docs: DataFrame, text: str = "text", size: int = VOCAB) -> dict[b
     return {w: i + 1 for i, (_, w) in enumerate(sorted((-r.n, bytes(r.w)) for r in top))}
 
 
-def _codes(ids: np.ndarray, vocab: int) -> np.ndarray:
-    """Bigram codes of a document; the first word follows a start mark (id vocab)."""
-    h = np.concatenate([[vocab], ids[:-1]]).astype(np.int64)
-    return h * vocab + ids
+class _Head:
+    """Losses of the most frequent bigrams, found by a sorted mix of both words and compared on the words themselves."""
+
+    def __init__(self, h: np.ndarray, w: np.ndarray, loss: np.ndarray):
+        order = np.argsort(self._mix(h, w), kind="stable")
+        self.h, self.w, self.loss = h[order], w[order], loss[order]
+        self.mixed = self._mix(self.h, self.w)
 
+    @staticmethod
+    def _mix(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+        return h.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + w.view(np.uint64)
 
-def _batch(rows: pd.DataFrame, vocab: int) -> tuple[np.ndarray, np.ndarray]:
-    """(codes, row of each) of a batch of encoded documents."""
-    parts = [_codes(np.frombuffer(b, np.uint16).astype(np.int64), vocab) if len(b) else np.zeros(0, np.int64) for b in rows["ids"]]
-    return np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+    def places(self, h: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Place of each bigram, -1 for those of the tail (one that another hides counts as tail)."""
+        if not len(self.mixed):
+            return np.full(len(h), -1)
+        at = np.minimum(np.searchsorted(self.mixed, self._mix(h, w)), len(self.mixed) - 1)
+        return np.where((self.h[at] == h) & (self.w[at] == w), at, -1)
 
 
-class Losses:
-    """Loss differences from counts; all arrays are bounded by the vocabulary."""
+def _pairs(t: str | None, known: dict[bytes, int] | None) -> tuple[np.ndarray, np.ndarray]:
+    """(previous word, word) of each token as 64-bit hashes; the first word follows START, a word that isn't known is UNKNOWN."""
+    own = words(t)
+    w = np.fromiter((_HASHES[x] if known is None or x in known else UNKNOWN for x in own), dtype=np.uint64, count=len(own)).view(np.int64)
+    return np.concatenate([[START], w[:-1]])[: len(w)].astype(np.int64), w
 
-    def __init__(self, vocab: int, of_context: np.ndarray, of_word: np.ndarray, mu: float = MU):
-        """Rows: background, target."""
-        self.vocab, self.of_context, self.mu = vocab, of_context, mu
-        self.unigram = (of_word + 1) / (of_word.sum(axis=1, keepdims=True) + vocab)
 
-    def difference(self, codes: np.ndarray, background: np.ndarray, target: np.ndarray) -> np.ndarray:
-        h, w = codes // self.vocab, codes % self.vocab
-        p = [(c + self.mu * self.unigram[k, w]) / (self.of_context[k, h] + self.mu) for k, c in enumerate((background, target))]
-        return np.log(p[0]) - np.log(p[1])
+def _batch(texts: pd.Series, known: dict[bytes, int] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(previous words, words, row of each) of a batch of documents."""
+    parts = [_pairs(t, known) for t in texts]
+    h, w = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+    return h, w, np.repeat(np.arange(len(parts)), [len(p[1]) for p in parts])
 
 
-def score(docs: DataFrame, target_ids: DataFrame, doc_id: str = "doc_id", text: str = "text", vocab_size: int = VOCAB, head: int = HEAD, mu: float = MU) -> DataFrame:
+def score(docs: DataFrame, target_ids: DataFrame, doc_id: str = "doc_id", text: str = "text", vocab_size: int | None = None, head: int = HEAD, mu: float = MU) -> DataFrame:
     """(doc_id, n_tokens, score) for each id; target_ids: one column of the ids of target documents."""
     spark = docs.sparkSession
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t"))
-    known = spark.sparkContext.broadcast(vocabulary(own, "t", vocab_size))
-
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        get = known.value.get
-        for rows in batches:
-            ids = [np.fromiter((get(w, 0) for w in words(t)), dtype=np.uint16).tobytes() for t in rows["t"]]
-            yield pd.DataFrame({"doc_id": rows["doc_id"].astype("Int64"), "ids": ids})
-
+    known = spark.sparkContext.broadcast(vocabulary(own, "t", vocab_size) if vocab_size else None)
     wanted = target_ids.select(F.col(target_ids.columns[0]).cast("long").alias("doc_id"), F.lit(True).alias("target")).where("doc_id is not null").distinct()
-    at = fresh_path(spark, "lm-ids")
-    own.mapInPandas(encode, "doc_id long, ids binary").join(wanted, "doc_id", "left").select("doc_id", "ids", F.coalesce("target", F.lit(False)).alias("target")).write.option("compression", "zstd").parquet(at)
-    encoded = spark.read.parquet(at)
+    marked = own.join(wanted, "doc_id", "left").select("t", F.coalesce("target", F.lit(False)).alias("target"))
 
     def bigrams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             for k in range(0, len(rows), 2000):
                 part = rows.iloc[k : k + 2000]
-                codes, row = _batch(part, vocab_size)
-                if len(codes):
-                    of, index, n = np.unique(codes, return_inverse=True, return_counts=True)
-                    t = np.bincount(index, part["target"].to_numpy(dtype=float)[row], minlength=len(of))
-                    yield pd.DataFrame({"code": of, "b": n, "t": t.astype(np.int64)})
-
-    path = fresh_path(spark, "lm-counts")
-    counts = encoded.mapInPandas(bigrams, "code long, b long, t long").groupBy("code").agg(F.sum("b").alias("b"), F.sum("t").alias("t"))
-    counts.write.option("compression", "zstd").parquet(path)
-    counts = spark.read.parquet(path)
-
-    def gathered(of, n: int) -> np.ndarray:
-        out = np.zeros((2, n))
-        for r in counts.groupBy(of.alias("k")).agg(F.sum("b").alias("b"), F.sum("t").alias("t")).collect():  # a row for each word at most
-            out[:, r.k] = r.b, r.t
-        return out
-
-    losses = Losses(vocab_size, gathered(F.expr(f"code div {vocab_size}"), vocab_size + 1), gathered(F.col("code") % vocab_size, vocab_size), mu)
-    top = most_frequent(counts, "b", head).toPandas().sort_values("code")
-    top_codes = top["code"].to_numpy(np.int64)
-    top_loss = losses.difference(top_codes, top["b"].to_numpy(), top["t"].to_numpy()) if len(top) else np.zeros(0)
-    shipped = spark.sparkContext.broadcast((losses, top_codes, top_loss))
-
-    def with_loss(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = shipped.value[0]
-        for rows in batches:
-            codes = rows["code"].to_numpy(np.int64)
-            yield pd.DataFrame({"code": codes, "loss": model.difference(codes, rows["b"].to_numpy(), rows["t"].to_numpy())})
+                h, w, row = _batch(part["t"], known.value)
+                if len(w):
+                    t = part["target"].to_numpy(dtype=np.int64)[row]
+                    yield pd.DataFrame({"h": h, "w": w, "b": 1, "t": t}).groupby(["h", "w"], sort=False, as_index=False).sum()
+
+    def stored(rows: DataFrame, name: str) -> DataFrame:
+        at = fresh_path(spark, name)
+        rows.write.option("compression", "zstd").parquet(at)
+        return spark.read.parquet(at)
+
+    total = (F.sum("b").alias("b"), F.sum("t").alias("t"))
+    counts = stored(marked.mapInPandas(bigrams, "h long, w long, b long, t long").groupBy("h", "w").agg(*total), "lm-counts")
+    of_word = stored(counts.groupBy("w").agg(*total).toDF("w", "wb", "wt"), "lm-words")
+    of_context = counts.groupBy("h").agg(*total).toDF("h", "hb", "ht")
+    size = of_word.agg(F.count(F.lit(1)).alias("v"), F.sum("wb").alias("b"), F.sum("wt").alias("t")).first()
+    vocab = vocab_size or size.v + 1
+
+    def logp(c: str, of_w: str, of_h: str, n: int) -> Column:
+        return F.log((F.col(c) + mu * (F.col(of_w) + 1) / F.lit(float(n + vocab))) / (F.col(of_h) + mu))
+
+    loss = logp("b", "wb", "hb", size.b or 0) - logp("t", "wt", "ht", size.t or 0)
+    losses = stored(counts.join(of_word, "w").join(of_context, "h").select("h", "w", "b", loss.alias("loss")), "lm-losses")
+    top = most_frequent(losses, "b", head).toPandas()
+    shipped = spark.sparkContext.broadcast(_Head(top["h"].to_numpy(np.int64), top["w"].to_numpy(np.int64), top["loss"].to_numpy(float)))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """A row with the head's part and the number of tokens of each document (code -1), and the bigrams of the tail."""
-        _, codes_of, loss_of = shipped.value
+        """A row with the head's part and the number of tokens of each document (n tokens), and the bigrams of the tail (n null)."""
         for rows in batches:
             for k in range(0, len(rows), 2000):
                 part = rows.iloc[k : k + 2000]
                 ids = part["doc_id"].to_numpy(np.int64)
-                codes, row = _batch(part, vocab_size)
-                tokens = np.bincount(row, minlength=len(part))
-                place = np.searchsorted(codes_of, codes)
-                is_head = np.zeros(len(codes), bool)
-                fits = place < len(codes_of)
-                is_head[fits] = codes_of[place[fits]] == codes[fits]
-                value = np.bincount(row[is_head], loss_of[place[is_head]], minlength=len(part))
-                yield pd.DataFrame({"code": -1, "doc_id": ids, "n": tokens, "v": value})
-                if not is_head.all():
-                    span = (vocab_size + 1) * vocab_size
-                    key, n = np.unique(row[~is_head] * span + codes[~is_head], return_counts=True)
-                    yield pd.DataFrame({"code": key % span, "doc_id": ids[key // span], "n": n, "v": 0.0})
-
-    kept = fresh_path(spark, "lm-parts")
-    encoded.where("doc_id is not null").mapInPandas(scan, "code long, doc_id long, n long, v double").write.option("compression", "zstd").parquet(kept)
-    parts = spark.read.parquet(kept)
-    tail = parts.where("code >= 0").join(counts.mapInPandas(with_loss, "code long, loss double"), "code").groupBy("doc_id").agg(F.sum(F.col("n") * F.col("loss")).alias("v"))
-    both = parts.where("code < 0").select("doc_id", "n", "v").union(tail.select("doc_id", F.lit(0).cast("long"), "v"))
-    total = both.groupBy("doc_id").agg(F.sum("n").alias("n_tokens"), F.sum("v").alias("v"))
-    return total.select("doc_id", "n_tokens", F.when(F.col("n_tokens") > 0, F.col("v") / F.col("n_tokens")).otherwise(F.lit(0.0)).alias("score"))
+                h, w, row = _batch(part["t"], known.value)
+                place = shipped.value.places(h, w)
+                on = place >= 0
+                value = np.bincount(row[on], shipped.value.loss[place[on]], minlength=len(part))
+                yield pd.DataFrame({"h": 0, "w": 0, "doc_id": ids, "n": pd.array(np.bincount(row, minlength=len(part)), "Int64"), "c": 0, "v": value})
+                if not on.all():
+                    tail = pd.DataFrame({"h": h[~on], "w": w[~on], "doc_id": ids[row[~on]], "c": 1}).groupby(["h", "w", "doc_id"], sort=False, as_index=False).sum()
+                    yield tail.assign(n=pd.array([None] * len(tail), "Int64"), v=0.0)[["h", "w", "doc_id", "n", "c", "v"]]
+
+    parts = stored(own.where("doc_id is not null").mapInPandas(scan, "h long, w long, doc_id long, n long, c long, v double"), "lm-parts")
+    tail = parts.where("n is null").join(losses.select("h", "w", "loss"), ["h", "w"]).groupBy("doc_id").agg(F.sum(F.col("c") * F.col("loss")).alias("v"))
+    both = parts.where("n is not null").select("doc_id", "n", "v").union(tail.select("doc_id", F.lit(0).cast("long"), "v"))
+    out = both.groupBy("doc_id").agg(F.sum("n").alias("n_tokens"), F.sum("v").alias("v"))
+    return out.select("doc_id", "n_tokens", F.when(F.col("n_tokens") > 0, F.col("v") / F.col("n_tokens")).otherwise(F.lit(0.0)).alias("score"))
