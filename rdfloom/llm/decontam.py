@@ -1,6 +1,6 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-Tokens are lower-cased runs of word characters. A seed is a fixed mask over SPAN
+Tokens are lower-cased runs of word characters. A seed is a fixed mask over
 consecutive tokens that ignores some positions, so that windows which differ only
 there still get the same hash. Seed hashes of the benchmark and of the documents
 are joined; a hit puts document and item on a diagonal (difference of positions),
@@ -13,7 +13,8 @@ is joined, on the whole hash. A saturated bitmap costs time and no hit. Document
 with a candidate are read again to be verified; the others are not.
 
 Defined cases: null or empty texts have no tokens and no hit. Items with fewer than
-MIN_ITEM tokens are ignored; items shorter than SPAN are seeded by all their tokens.
+MIN_ITEM tokens are ignored; items below MIN_OVERLAP are seeded by runs so short
+that one agrees in full wherever the fifth that may differ lies.
 Items with equal tokens count as the one with the smallest id. Null item ids and
 null doc ids take no part. Rows with one doc id share their candidates, are verified
 one by one, and the id is contaminated if one of them is. An empty benchmark or
@@ -33,9 +34,9 @@ from pyspark.sql import functions as F
 
 from rdfloom.llm.common import WordHashes, cut, free_name
 
-SPAN = 11
-#: Positions that count; the ends always do.
-MASKS = ((0, 1, 3, 4, 7, 9, 10), (0, 2, 3, 5, 6, 8, 10), (0, 1, 2, 5, 7, 8, 10), (0, 3, 4, 5, 6, 7, 10))
+#: Positions that count; the ends always do. Lossless at MIN_OVERLAP and IDENTITY: whichever fifth of the tokens of 13 to 25 differs,
+#: a mask fits where none does (tests try them all), and one half of a longer stretch is itself long and alike enough.
+MASKS = ((0, 1, 3, 5, 6, 7), (0, 1, 2, 6, 9, 10), (0, 2, 3, 9, 11, 12), (0, 1, 2, 3, 4, 5))
 MIN_ITEM, MIN_OVERLAP, IDENTITY = 5, 13, 0.8
 BITMAP = 24
 CHUNK = 1 << 13
@@ -55,11 +56,16 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-_FACTORS = np.array([xxhash.xxh64_intdigest(str(i)) | 1 for i in range(SPAN)], dtype=np.uint64)
+_FACTORS = np.array([xxhash.xxh64_intdigest(str(i)) | 1 for i in range(max(map(len, MASKS)))], dtype=np.uint64)
+
+
+def run_of(n: int) -> int:
+    """Tokens that agree in a row, at least, in an item of n < MIN_OVERLAP tokens that is found."""
+    return n // (n - int(np.ceil(IDENTITY * n - 1e-9)) + 1)
 
 
 def seeds(t: np.ndarray, short: tuple[int, ...] = ()) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(positions, hashes) of each mask; short: lengths below SPAN that are seeded by all tokens."""
+    """(positions, hashes) of each mask; short: lengths of the runs that seed items below MIN_OVERLAP tokens."""
     for k, places in [*enumerate(MASKS), *((100 + n, tuple(range(n))) for n in short)]:
         n = len(t) - places[-1]
         if n > 0:
@@ -123,7 +129,7 @@ def _item_seeds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for rows in batches:
         for item, toks in zip(rows["item_id"], rows["toks"]):
             t = np.asarray(toks, dtype=np.int64).view(np.uint64)
-            for at, h in seeds(t, (len(t),) if len(t) < SPAN else ()):
+            for at, h in seeds(t, (run_of(len(t)),) if len(t) < MIN_OVERLAP else ()):
                 yield pd.DataFrame({"h": h.view(np.int64), "item_id": item, "q": at})
 
 
@@ -134,7 +140,7 @@ def find(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: st
     items = bench.mapInPandas(_items, "item_id long, toks array<long>").groupBy("toks").agg(F.min("item_id").alias("item_id"))
     items = cut(items.select("item_id", "toks"))
     of_items = cut(items.mapInPandas(_item_seeds, "h long, item_id long, q int"))
-    short = tuple(sorted(r.n for r in items.select(F.size("toks").alias("n")).where(f"n < {SPAN}").distinct().collect()))  # fewer than SPAN values
+    short = tuple(sorted({run_of(r.n) for r in items.select(F.size("toks").alias("n")).where(f"n < {MIN_OVERLAP}").distinct().collect()}))  # fewer than MIN_OVERLAP values
     bits = spark.sparkContext.broadcast(_bitmap(of_items))
 
     def hits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
