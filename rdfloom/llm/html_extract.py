@@ -113,7 +113,7 @@ def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], float]]:
                 path.pop()
             if tag not in VOID:
                 words = {w for v in _NAMED.findall(m[3]) for w in _PART.findall("".join(v).lower())} if m[3] else ()
-                path.append(".".join([tag, *sorted(words)[:8]]))
+                path.append(".".join([tag, *sorted(words)]))
     close()
     return out
 
@@ -126,19 +126,19 @@ def features(block: tuple[str, tuple[str, ...], float], place: float) -> tuple[l
         tag, *words = step.split(".")
         tags += [_hash(f"t:{tag}"), _hash(f"d{min(depth, 3)}:{tag}"), *(_hash(f"c:{w}") for w in words)]
     words = _WORD.findall(text.lower())
-    few = [_hash(f"w:{w}") for w in words[:40]]  # of the words' vectors only; the whole text is kept
+    own = [_hash(f"w:{w}") for w in words]
     n = len(words)
     plain = [
         np.log1p(n) / 4,
         linked,
-        min(1.0, sum(c in ".,;:!?" for c in text[:400]) / 12),
+        min(1.0, sum(map(text.count, ".,;:!?")) * 400 / max(400, len(text)) / 12),
         float(text[-1:] in ".!?\"'”»"),
         float("©" in text or "opyright" in text),
         place,
         min(len(path), 10) / 10,
         1.0,
     ]
-    return tags or [_hash("t:")], few or [_hash("w:")], plain
+    return tags or [_hash("t:")], own or [_hash("w:")], plain
 
 
 class Labeller:
