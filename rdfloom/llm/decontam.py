@@ -32,14 +32,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rdfloom.llm.common import WordHashes, cut, free_name
+from rdfloom.llm.common import WordHashes, bitmap, cut, free_name, in_bitmap, small_batches
 
 #: Positions that count; the ends always do. Lossless at MIN_OVERLAP and IDENTITY: whichever fifth of the tokens of 13 to 25 differs,
 #: a mask fits where none does (tests try them all), and one half of a longer stretch is itself long and alike enough.
 MASKS = ((0, 1, 3, 5, 6, 7), (0, 1, 2, 6, 9, 10), (0, 2, 3, 9, 11, 12), (0, 1, 2, 3, 4, 5))
 MIN_ITEM, MIN_OVERLAP, IDENTITY = 5, 13, 0.8
-BITMAP = 24
-CHUNK = 1 << 13
 
 _TOKEN = re.compile(r"\w+")
 _HASHES = WordHashes(9)
@@ -75,31 +73,6 @@ def seeds(t: np.ndarray, short: tuple[int, ...] = ()) -> Iterator[tuple[np.ndarr
             yield np.arange(n, dtype=np.int32), _mix(h)
 
 
-def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The bitmap of a partition's hashes, in chunks."""
-    bits = np.zeros(1 << BITMAP, dtype=bool)
-    for rows in batches:
-        bits[rows["h"].to_numpy(np.int64).view(np.uint64) >> np.uint64(64 - BITMAP)] = True
-    if bits.any():
-        packed = np.packbits(bits).reshape(-1, CHUNK)
-        own = np.nonzero(packed.any(axis=1))[0]
-        yield pd.DataFrame({"chunk": own.astype(np.int32), "bits": [packed[i].tobytes() for i in own]})
-
-
-def _bitmap(hashes: DataFrame) -> np.ndarray:
-    """Bounded: 256 chunks of 8 KB reach the driver, whatever the benchmark holds."""
-
-    def either(rows: pd.DataFrame) -> pd.DataFrame:
-        all_ = np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in rows["bits"]])
-        return pd.DataFrame({"chunk": rows["chunk"][:1], "bits": [all_.tobytes()]})
-
-    kind = "chunk int, bits binary"
-    out = np.zeros(((1 << BITMAP) // 8 // CHUNK, CHUNK), dtype=np.uint8)
-    for r in hashes.select("h").mapInPandas(_chunks, kind).groupBy("chunk").applyInPandas(either, kind).collect():
-        out[r.chunk] = np.frombuffer(r.bits, np.uint8)
-    return out.reshape(-1)
-
-
 def overlap(doc: np.ndarray, item: np.ndarray, diagonal: int, min_overlap: int = MIN_OVERLAP, identity: float = IDENTITY) -> tuple[int, int]:
     """Longest stretch of the diagonal (document position less item position) that is long and alike enough: [start, end) in the document, or (0, 0)."""
     lo, hi = max(0, diagonal), min(len(doc), len(item) + diagonal)
@@ -136,12 +109,13 @@ def _item_seeds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def find(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", min_overlap: int = MIN_OVERLAP, identity: float = IDENTITY) -> DataFrame:
     """(doc_id, item_id, start, end) in tokens of the document: the longest verified overlap of each document with each item."""
     spark = docs.sparkSession
+    small_batches(spark)
     bench = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("t")).where("item_id is not null")
     items = bench.mapInPandas(_items, "item_id long, toks array<long>").groupBy("toks").agg(F.min("item_id").alias("item_id"))
     items = cut(items.select("item_id", "toks"))
     of_items = cut(items.mapInPandas(_item_seeds, "h long, item_id long, q int"))
     short = tuple(sorted({run_of(r.n) for r in items.select(F.size("toks").alias("n")).where(f"n < {MIN_OVERLAP}").distinct().collect()}))  # fewer than MIN_OVERLAP values
-    bits = spark.sparkContext.broadcast(_bitmap(of_items))
+    bits = spark.sparkContext.broadcast(bitmap(of_items.select("h")))
 
     def hits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = bits.value
@@ -149,8 +123,7 @@ def find(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: st
             ids, ps, hs = [], [], []
             for i, x in zip(rows["doc_id"], rows["t"]):
                 for at, h in seeds(tokens(x), short):
-                    b = h >> np.uint64(64 - BITMAP)
-                    on = np.nonzero(known[b >> np.uint64(3)] >> (np.uint64(7) - (b & np.uint64(7))).astype(np.uint8) & 1)[0]
+                    on = np.nonzero(in_bitmap(known, h))[0]
                     if len(on):
                         ids.append(np.full(len(on), i))
                         ps.append(at[on])
