@@ -1,68 +1,69 @@
 """Language-model scoring by cross-entropy difference.
 
-Two bigram models with one vocabulary: the target model counts the documents of a
-given set of ids, the background model counts all documents. Each token's loss is
--log P(word | previous word); a document's score is the mean over its tokens of
-target loss less background loss (low: like the target).
+Two bigram models with one vocabulary, one order and one smoothing: the target model
+counts the documents of a given set of ids, the background model counts all
+documents. A document's score is the mean, over its words and its end, of target
+loss less background loss (low: like the target). The document itself is left out
+of the counts of the models that hold it.
 
     P(w | h) = (c(h, w) + MU * P(w)) / (c(h) + MU),    P(w) = (c(w) + 1) / (N + V)
 
-The vocabulary is every word of the corpus (V counts an unknown one too), so it grows
-with the input. A word is known by a 64-bit hash and never gathered: counts of bigrams,
-contexts and words are tables, and the loss difference of a bigram comes from their
-join. A vocab_size bounds it where a caller wants that: whole classes of equal (or,
-above 4,096, nearly equal) counts as long as they fit vocab_size - 1 words are kept,
-other words are one unknown word.
+The models are matched in size: counts of the background are multiplied by the
+target's share of all tokens. These are the expected counts of a random sample as
+large as the target, so that neither model is smoothed more than the other, and yet
+every document counts.
 
-The most frequent bigrams (classes of counts again, at most HEAD) are broadcast with
-their loss differences and scored inside the scan. The others are joined with the
-table of losses, which is never gathered either. A bigram that a third of the
-documents has is in the head, so that the join has no hot key.
+The vocabulary is every word of the corpus (V counts an end of text and an unknown
+word too), so it grows with the input. A word is known by a 64-bit hash. A text is
+read as START, its words, END, so that a word's count is its count as a context too.
+
+Counts meet the documents in one shuffle. The most frequent words (whole classes of
+equal counts, at most HEAD) are broadcast with their exact counts, and so are the
+bigrams of two such words that are most frequent in a sample of documents; what they
+contribute is summed inside the scan. Every other bigram of a document is a row,
+keyed by the bigram or, if its second word isn't in the head, by that word. The rows
+of a key then hold all that its counts are made of. Which words and bigrams are in
+the heads changes no score: it keeps keys from being hot.
 
 Defined cases: words are runs of non-space bytes, A-Z lower-cased. A null or empty
-text has no token and scores 0. Rows with a null id are counted and get no row of
-their own; rows that share an id are read as one document. Without target
-documents both models are smoothed alike from no counts on the target's side. An
+text has no token, is in no model and scores 0. Rows whose id is null or isn't a whole
+number are counted and get no row of their own; rows that share an id are left out one
+by one, and their losses are pooled. Without target documents every score is 0. An
 empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rdfloom.llm.common import WordHashes, fresh_path
+from rdfloom.llm.common import WordHashes, fresh_path, small_batches
 
-#: Word keys of the place before a text and of words outside of a given vocabulary.
-START, UNKNOWN = 1, 0
+#: Word keys of the places before and after a text; the end's is also the count of starts.
+START, END = 1, 2
 HEAD = 1 << 17
+#: Documents of the sample that the frequent bigrams are taken from.
+SAMPLE = 5000
 MU = 50.0
-#: Different words that a task holds before it passes its counts on.
-HELD = 300_000
+#: Rows that a task holds at a time; words and bytes of text go by multiples of it.
+HELD = 1 << 19
 _HASHES = WordHashes(10)
 
+Batches = Iterator[pa.RecordBatch]
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Kinds of rows, in the lowest bits of their key: a document's sum, a bigram of the tail, a word of the tail.
+TOTAL, PAIR, WORD = 0, 1, 2
+
 
 def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    held: Counter = Counter()
-    for rows in batches:
-        for t in rows["t"]:
-            held.update(words(t))
-            if len(held) >= HELD:
-                yield pd.DataFrame({"w": list(held), "n": list(held.values())})
-                held = Counter()
-    if held:
-        yield pd.DataFrame({"w": list(held), "n": list(held.values())})
-
-
 def _class(n: Column) -> Column:
     """Class of a count: the count itself up to 4,096, then 256 classes an octave (some 20,000 in all)."""
     return F.when(n <= 4096, n).otherwise(4096 + F.floor((F.log2(n) - 12) * 256)).cast("int")
@@ -79,103 +80,247 @@ def most_frequent(counts: DataFrame, n: str, most: int) -> DataFrame:
     return counts.where(_class(F.col(n)) >= least if least is not None else F.lit(False))
 
 
-def vocabulary(docs: DataFrame, text: str, size: int) -> dict[bytes, int]:
-    """word -> id from 1, the most frequent first; 0 is any other word. Bounded by size."""
-    at = fresh_path(docs.sparkSession, "lm-words")
-    counts = docs.select(F.col(text).alias("t")).mapInPandas(_count, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    counts.write.parquet(at)
-    top = most_frequent(docs.sparkSession.read.parquet(at), "n", size - 1).collect()
-    return {w: i + 1 for i, (_, w) in enumerate(sorted((-r.n, bytes(r.w)) for r in top))}
+def _mix(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """One unsigned hash of two."""
+    x = (h.view(np.uint64) ^ (h.view(np.uint64) >> np.uint64(29))) * _ODD + w.view(np.uint64)
+    return (x ^ (x >> np.uint64(32))) * np.uint64(0xFF51AFD7ED558CCD)
+
+
+class Table:
+    """Sorted hashes with the counts of background and target; most hashes that aren't in it are told by a bitmap."""
+
+    def __init__(self, keys: np.ndarray, b: np.ndarray, t: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.b, self.t = keys[order], b[order].astype(float), t[order].astype(float)
+        self.bits = np.zeros(1 << 22, dtype=bool)
+        self.bits[self.keys >> np.uint64(42)] = True
+
+    def places(self, keys: np.ndarray) -> np.ndarray:
+        """Place of each unsigned hash, -1 where it isn't here."""
+        out = np.full(len(keys), -1, dtype=np.int64)
+        some = np.nonzero(self.bits[keys >> np.uint64(42)])[0]
+        if len(some) and len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, keys[some]), len(self.keys) - 1)
+            hit = self.keys[at] == keys[some]
+            out[some[hit]] = at[hit]
+        return out
+
+
+def _texts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words and ends, the word before each, words of each text) of the texts that have words."""
+    own = [words(t.as_py()) for t in texts]
+    n = np.array([len(x) for x in own], dtype=np.int64)
+    has = n > 0
+    flat = np.fromiter((_HASHES[x] for t in own for x in t), dtype=np.uint64, count=int(n.sum()))
+    ends = np.cumsum(n[has] + 1)
+    w = np.full(int(ends[-1]) if len(ends) else 0, END, dtype=np.uint64)
+    inside = np.ones(len(w), dtype=bool)
+    inside[ends - 1] = False
+    w[inside] = flat
+    h = np.concatenate([np.array([START], np.uint64), w[:-1]])[: len(w)]
+    h[ends[:-1]] = START
+    return w, h, n
+
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of some 4 * HELD bytes of text, a row at least."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(0)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + 4 * HELD)))
+        yield batch.slice(at, stop - at)
+        at = stop
 
-class _Head:
-    """Losses of the most frequent bigrams, found by a sorted mix of both words and compared on the words themselves."""
 
-    def __init__(self, h: np.ndarray, w: np.ndarray, loss: np.ndarray):
-        order = np.argsort(self._mix(h, w), kind="stable")
-        self.h, self.w, self.loss = h[order], w[order], loss[order]
-        self.mixed = self._mix(self.h, self.w)
+def _sums(keys: np.ndarray, *weights: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Different keys and the sum of each weight."""
+    own, at = np.unique(keys, return_inverse=True)
+    return own, *(np.bincount(at, x, minlength=len(own)) for x in weights)
 
-    @staticmethod
-    def _mix(h: np.ndarray, w: np.ndarray) -> np.ndarray:
-        return h.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + w.view(np.uint64)
 
-    def places(self, h: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """Place of each bigram, -1 for those of the tail (one that another hides counts as tail)."""
-        if not len(self.mixed):
-            return np.full(len(h), -1)
-        at = np.minimum(np.searchsorted(self.mixed, self._mix(h, w)), len(self.mixed) - 1)
-        return np.where((self.h[at] == h) & (self.w[at] == w), at, -1)
+def _counts(key: str, keys: np.ndarray, b: np.ndarray, t: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(b.astype(np.int64)), pa.array(t.astype(np.int64))], names=[key, "b", "t"])
 
 
-def _pairs(t: str | None, known: dict[bytes, int] | None) -> tuple[np.ndarray, np.ndarray]:
-    """(previous word, word) of each token as 64-bit hashes; the first word follows START, a word that isn't known is UNKNOWN."""
-    own = words(t)
-    w = np.fromiter((_HASHES[x] if known is None or x in known else UNKNOWN for x in own), dtype=np.uint64, count=len(own)).view(np.int64)
-    return np.concatenate([[START], w[:-1]])[: len(w)].astype(np.int64), w
+def _pairs_of(docs: DataFrame, head: int) -> np.ndarray:
+    """Hashes of the bigrams that are most frequent in a sample of documents."""
+    n = docs.count()
+    share = min(1.0, SAMPLE / max(1, n))
+    sample = docs.where(F.pmod(F.xxhash64("t", F.lit("sample")), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
 
+    def run(batches: Batches) -> Batches:
+        for batch in batches:
+            for part in _slices(batch):
+                w, h, _ = _texts(part.column(0))
+                k, c = _sums(_mix(h, w), np.ones(len(w)))
+                yield _counts("k", k, c, c)
 
-def _batch(texts: pd.Series, known: dict[bytes, int] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(previous words, words, row of each) of a batch of documents."""
-    parts = [_pairs(t, known) for t in texts]
-    h, w = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
-    return h, w, np.repeat(np.arange(len(parts)), [len(p[1]) for p in parts])
+    found = sample.select("t").mapInArrow(run, "k long, b long, t long").groupBy("k").agg(F.sum("b").alias("b")).where("b > 1")
+    top = found.orderBy(F.desc("b"), "k").limit(head).toArrow()
+    return top.column("k").to_numpy().view(np.uint64)
 
 
-def score(docs: DataFrame, target_ids: DataFrame, doc_id: str = "doc_id", text: str = "text", vocab_size: int | None = None, head: int = HEAD, mu: float = MU) -> DataFrame:
+def score(docs: DataFrame, target_ids: DataFrame, doc_id: str = "doc_id", text: str = "text", head: int = HEAD, mu: float = MU) -> DataFrame:
     """(doc_id, n_tokens, score) for each id; target_ids: one column of the ids of target documents."""
     spark = docs.sparkSession
-    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t"))
-    known = spark.sparkContext.broadcast(vocabulary(own, "t", vocab_size) if vocab_size else None)
-    wanted = target_ids.select(F.col(target_ids.columns[0]).cast("long").alias("doc_id"), F.lit(True).alias("target")).where("doc_id is not null").distinct()
-    marked = own.join(wanted, "doc_id", "left").select("t", F.coalesce("target", F.lit(False)).alias("target"))
-
-    def bigrams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            for k in range(0, len(rows), 2000):
-                part = rows.iloc[k : k + 2000]
-                h, w, row = _batch(part["t"], known.value)
+    small_batches(spark)
+    own = docs.select(F.col(text).alias("t"), F.col(doc_id).try_cast("long").alias("doc_id"))
+    wanted = target_ids.select(F.col(target_ids.columns[0]).try_cast("long").alias("doc_id"), F.lit(True).alias("target")).where("doc_id is not null").distinct()
+    marked = own.join(wanted, "doc_id", "left").select("t", "doc_id", F.coalesce("target", F.lit(False)).alias("target"))
+    chosen = spark.sparkContext.broadcast(np.sort(_pairs_of(own, head)))
+
+    def flags(part: pa.RecordBatch, n: np.ndarray) -> np.ndarray:
+        return np.repeat(part.column(2).to_numpy(zero_copy_only=False).astype(float)[n > 0], n[n > 0] + 1)
+
+    def count(batches: Batches) -> Batches:
+        """Counts of words (k null) and of the chosen bigrams (w null)."""
+        pairs = Table(chosen.value, np.zeros(len(chosen.value)), np.zeros(len(chosen.value)))
+        held, size = [], 0
+
+        def out(own: str, k: np.ndarray, b: np.ndarray, t: np.ndarray) -> pa.RecordBatch:
+            none = pa.nulls(len(k), pa.int64())
+            found = pa.array(k.view(np.int64))
+            return pa.RecordBatch.from_arrays([found if own == "w" else none, found if own == "k" else none, pa.array(b.astype(np.int64)), pa.array(t.astype(np.int64))], names=["w", "k", "b", "t"])
+
+        for batch in batches:
+            for part in _slices(batch):
+                w, h, n = _texts(part.column(0))
+                target = flags(part, n)
+                at = pairs.places(_mix(h, w))
+                on = at >= 0
+                pairs.b += np.bincount(at[on], minlength=len(pairs.b))
+                pairs.t += np.bincount(at[on], target[on], minlength=len(pairs.t))
+                held.append(_sums(w, np.ones(len(w)), target))
+                size += len(held[-1][0])
+                if size > 4 * HELD:
+                    yield out("w", *_sums(*(np.concatenate(x) for x in zip(*held))))
+                    held, size = [], 0
+        if size:
+            yield out("w", *_sums(*(np.concatenate(x) for x in zip(*held))))
+        if (some := pairs.b > 0).any():
+            yield out("k", pairs.keys[some], pairs.b[some], pairs.t[some])
+
+    at = fresh_path(spark, "lm-counts")
+    marked.mapInArrow(count, "w long, k long, b long, t long").groupBy("w", "k").agg(F.sum("b").alias("b"), F.sum("t").alias("t")).write.option("compression", "zstd").parquet(at)
+    counts = spark.read.parquet(at)
+    of_words = counts.where("w is not null")
+    size = of_words.agg(F.count(F.lit(1)).alias("v"), F.sum("b").alias("b"), F.sum("t").alias("t")).first()
+    vocab, n_b, n_t = size.v + 1, float(size.b or 0), float(size.t or 0)  # END is one of v
+    ratio = n_t / n_b if n_b else 0.0
+
+    def table(rows: pa.Table, key: str) -> Table:
+        return Table(rows.column(key).to_numpy().view(np.uint64), rows.column("b").to_numpy(), rows.column("t").to_numpy())
+
+    top = most_frequent(of_words, "b", head).union(of_words.where(f"w = {END}")).distinct().select("w", "b", "t").toArrow()
+    shipped = spark.sparkContext.broadcast((table(top, "w"), table(counts.where("k is not null").select("k", "b", "t").toArrow(), "k")))
+
+    def gain(c, b, t, wb, wt, own_b, own_t, target):
+        """c times the log of background over target, of the numerators of P(w | h); all without the own counts."""
+        background = ratio * (b - c) + mu * (ratio * (wb - own_b) + 1) / (n_t + vocab)
+        return c * np.log(background / ((t - c * target) + mu * (wt - own_t + 1) / (n_t + vocab)))
+
+    def context(c, b, t, own_b, own_t):
+        """The same of the denominators, for a context that occurs c times."""
+        return -c * np.log((ratio * (b - own_b) + mu) / (t - own_t + mu))
+
+    def scan(batches: Batches) -> Batches:
+        """A row with the sum of the heads for each document, and a row for each bigram of the tails."""
+        heads, pairs = shipped.value
+        for batch in batches:
+            for part in _slices(batch):
+                w, h, n = _texts(part.column(0))
+                ids = part.column(1)
+                known = ids.is_valid().to_numpy(zero_copy_only=False)
+                ids = ids.fill_null(0).to_numpy()
+                flag = part.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
+                doc = np.repeat(np.nonzero(n > 0)[0], n[n > 0] + 1)
+                sums = np.zeros(len(n))
                 if len(w):
-                    t = part["target"].to_numpy(dtype=np.int64)[row]
-                    yield pd.DataFrame({"h": h, "w": w, "b": 1, "t": t}).groupby(["h", "w"], sort=False, as_index=False).sum()
-
-    def stored(rows: DataFrame, name: str) -> DataFrame:
-        at = fresh_path(spark, name)
-        rows.write.option("compression", "zstd").parquet(at)
-        return spark.read.parquet(at)
-
-    total = (F.sum("b").alias("b"), F.sum("t").alias("t"))
-    counts = stored(marked.mapInPandas(bigrams, "h long, w long, b long, t long").groupBy("h", "w").agg(*total), "lm-counts")
-    of_word = stored(counts.groupBy("w").agg(*total).toDF("w", "wb", "wt"), "lm-words")
-    of_context = counts.groupBy("h").agg(*total).toDF("h", "hb", "ht")
-    size = of_word.agg(F.count(F.lit(1)).alias("v"), F.sum("wb").alias("b"), F.sum("wt").alias("t")).first()
-    vocab = vocab_size or size.v + 1
-
-    def logp(c: str, of_w: str, of_h: str, n: int) -> Column:
-        return F.log((F.col(c) + mu * (F.col(of_w) + 1) / F.lit(float(n + vocab))) / (F.col(of_h) + mu))
-
-    loss = logp("b", "wb", "hb", size.b or 0) - logp("t", "wt", "ht", size.t or 0)
-    losses = stored(counts.join(of_word, "w").join(of_context, "h").select("h", "w", "b", loss.alias("loss")), "lm-losses")
-    top = most_frequent(losses, "b", head).toPandas()
-    shipped = spark.sparkContext.broadcast(_Head(top["h"].to_numpy(np.int64), top["w"].to_numpy(np.int64), top["loss"].to_numpy(float)))
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """A row with the head's part and the number of tokens of each document (n tokens), and the bigrams of the tail (n null)."""
-        for rows in batches:
-            for k in range(0, len(rows), 2000):
-                part = rows.iloc[k : k + 2000]
-                ids = part["doc_id"].to_numpy(np.int64)
-                h, w, row = _batch(part["t"], known.value)
-                place = shipped.value.places(h, w)
-                on = place >= 0
-                value = np.bincount(row[on], shipped.value.loss[place[on]], minlength=len(part))
-                yield pd.DataFrame({"h": 0, "w": 0, "doc_id": ids, "n": pd.array(np.bincount(row, minlength=len(part)), "Int64"), "c": 0, "v": value})
-                if not on.all():
-                    tail = pd.DataFrame({"h": h[~on], "w": w[~on], "doc_id": ids[row[~on]], "c": 1}).groupby(["h", "w", "doc_id"], sort=False, as_index=False).sum()
-                    yield tail.assign(n=pd.array([None] * len(tail), "Int64"), v=0.0)[["h", "w", "doc_id", "n", "c", "v"]]
-
-    parts = stored(own.where("doc_id is not null").mapInPandas(scan, "h long, w long, doc_id long, n long, c long, v double"), "lm-parts")
-    tail = parts.where("n is null").join(losses.select("h", "w", "loss"), ["h", "w"]).groupBy("doc_id").agg(F.sum(F.col("c") * F.col("loss")).alias("v"))
-    both = parts.where("n is not null").select("doc_id", "n", "v").union(tail.select("doc_id", F.lit(0).cast("long"), "v"))
-    out = both.groupBy("doc_id").agg(F.sum("n").alias("n_tokens"), F.sum("v").alias("v"))
-    return out.select("doc_id", "n_tokens", F.when(F.col("n_tokens") > 0, F.col("v") / F.col("n_tokens")).otherwise(F.lit(0.0)).alias("score"))
+                    # words of each document, by hash and document
+                    order = np.lexsort((w, doc))
+                    ws, ds = w[order], doc[order]
+                    first = np.concatenate([[True], (ws[1:] != ws[:-1]) | (ds[1:] != ds[:-1])])
+                    group = np.empty(len(w), dtype=np.int64)
+                    group[order] = np.cumsum(first) - 1
+                    starts = np.nonzero(first)[0]
+                    c_word, w_word, d_word = np.diff(np.append(starts, len(ws))).astype(float), ws[starts], ds[starts]
+                    p_word = heads.places(w_word)
+                    on = p_word >= 0
+                    p, c, g = p_word[on], c_word[on], flag[d_word[on]]
+                    sums += np.bincount(d_word[on], context(c, heads.b[p], heads.t[p], c, c * g), minlength=len(n))
+                    # bigrams: rows of the same document and pair of words
+                    mixed = _mix(h, w)
+                    order = np.lexsort((mixed, doc))
+                    ms, ds = mixed[order], doc[order]
+                    starts = np.nonzero(np.concatenate([[True], (ms[1:] != ms[:-1]) | (ds[1:] != ds[:-1])]))[0]
+                    c = np.diff(np.append(starts, len(ms)))
+                    rep = order[starts]
+                    key, d, of = mixed[rep], doc[rep], group[rep]
+                    place, own_w = p_word[of], c_word[of]
+                    pair = np.where(place >= 0, pairs.places(key), -1)
+                    on = pair >= 0
+                    p, q, o, g = place[on], pair[on], own_w[on], flag[d[on]]
+                    sums += np.bincount(d[on], gain(c[on], pairs.b[q], pairs.t[q], heads.b[p], heads.t[p], o, o * g, g), minlength=len(n))
+                    rest = np.nonzero(~on)[0]
+                    tail = place[rest] < 0
+                    kind = np.where(tail, WORD, PAIR).astype(np.uint64)
+                    keys = (np.where(tail, w[rep[rest]], key[rest]) & ~np.uint64(3)) | kind
+                    about = np.where(tail, h[rep[rest]].view(np.int64), place[rest])
+                    packed = (c[rest] << 32) | (own_w[rest].astype(np.int64) << 2) | (flag[d[rest]] << 1) | known[d[rest]]
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(about), pa.array(ids[d[rest]]), pa.array(packed)], names=["key", "about", "doc_id", "packed"])
+                at = np.nonzero(known)[0]
+                keys = (_mix(ids[at], ids[at]) & ~np.uint64(3)) | np.uint64(TOTAL)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(sums[at].view(np.int64)), pa.array(ids[at]), pa.array(n[at])], names=["key", "about", "doc_id", "packed"])
+
+    def settle(key: np.ndarray, about: np.ndarray, ids: np.ndarray, packed: np.ndarray) -> pa.RecordBatch:
+        """(doc_id, n, v) of rows that hold whole keys, a row for each document."""
+        heads, _ = shipped.value
+        kind = key & 3
+        total = kind == TOTAL
+        c, own, target, known = (packed >> 32).astype(float), ((packed >> 2) & ((1 << 30) - 1)).astype(float), (packed >> 1 & 1).astype(float), (packed & 1).astype(bool)
+        known[total] = True
+        value = np.zeros(len(key))
+        value[total] = about[total].view(np.float64)
+        for of in (PAIR, WORD):
+            on = np.nonzero(kind == of)[0]
+            if not len(on):
+                continue
+            if of == WORD:
+                on = on[np.lexsort((about[on], key[on]))]
+            k, a, x, o, g = key[on], about[on], c[on], own[on], target[on]
+            new = np.concatenate([[True], k[1:] != k[:-1]])
+            group = np.cumsum(new) - 1
+            b, t = np.bincount(group, x)[group], np.bincount(group, x * g)[group]
+            if of == PAIR:
+                wb, wt = heads.b[a], heads.t[a]
+                value[on] = gain(x, b, t, wb, wt, o, o * g, g)
+            else:
+                sub = np.cumsum(new | np.concatenate([[True], a[1:] != a[:-1]])) - 1
+                pb, pt = np.bincount(sub, x)[sub], np.bincount(sub, x * g)[sub]
+                value[on] = gain(x, pb, pt, b, t, o, o * g, g) + context(x, b, t, o, o * g)
+        n = np.where(total, packed, 0)
+        own_ids, n, ends, v = _sums(ids[known], n[known], (n > 0)[known], value[known])
+        return pa.RecordBatch.from_arrays([pa.array(own_ids), pa.array(n.astype(np.int64)), pa.array(ends.astype(np.int64)), pa.array(v)], names=["doc_id", "n", "ends", "v"])
+
+    def meet(batches: Batches) -> Batches:
+        held, size = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append([x.to_numpy() for x in batch.columns])
+            size += batch.num_rows
+            if size < HELD:
+                continue
+            cols = [np.concatenate(x) for x in zip(*held)]
+            stop = int(np.searchsorted(cols[0], cols[0][-1]))  # the last key may go on
+            if stop:
+                yield settle(*(x[:stop] for x in cols))
+            held = [[x[stop:] for x in cols]]
+            size = len(held[0][0])
+        if held:
+            yield settle(*(np.concatenate(x) for x in zip(*held)))
+
+    rows = marked.mapInArrow(scan, "key long, about long, doc_id long, packed long")
+    met = rows.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "doc_id long, n long, ends long, v double")
+    out = met.groupBy("doc_id").agg(F.sum("n").alias("n_tokens"), F.sum("ends").alias("ends"), F.sum("v").alias("v"))
+    return out.select("doc_id", "n_tokens", F.when(F.col("n_tokens") > 0, F.col("v") / (F.col("n_tokens") + F.col("ends"))).otherwise(F.lit(0.0)).alias("score"))

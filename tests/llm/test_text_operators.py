@@ -221,36 +221,52 @@ def test_overlap_is_the_longest_stretch():
             assert b - a == best
 
 
-def test_lm_scores(spark, texts):
+def brute_scores(texts, target, mu=50.0):
+    """(words, score) of each text: both models counted without the text itself, the background scaled to the target's size."""
+    seen = [[1, *lmscore.words(t), 2] if lmscore.words(t) else [] for t in texts]
+    pair, word = [Counter(), Counter()], [Counter(), Counter()]
+    for i, s in enumerate(seen):
+        for m in (0, 1) if i in target else (0,):
+            pair[m].update(zip(s, s[1:]))
+            word[m].update(s[1:])
+    n = [sum(w.values()) for w in word]
+    vocab, ratio = len(word[0]) + 1, n[1] / n[0] if n[0] else 0.0
+    out = []
+    for i, s in enumerate(seen):
+        own, own_w, total = Counter(zip(s, s[1:])), Counter(s[1:]), 0.0
+        for h, w in zip(s, s[1:]):
+            p = []
+            for m, scale in ((0, ratio), (1, 1.0)):
+                mine = m == 0 or i in target
+                context = 2 if h == 1 else h  # as many starts as ends
+                c = [scale * (x[k] - mine * o[k]) for x, o, k in ((pair[m], own, (h, w)), (word[m], own_w, w), (word[m], own_w, context))]
+                p.append((c[0] + mu * (c[1] + 1) / (n[1] + vocab)) / (c[2] + mu))
+            total += np.log(p[0] / p[1])
+        out.append((max(0, len(s) - 2), total / (len(s) - 1) if s else 0.0))
+    return out
+
+
+@pytest.mark.parametrize("head", [0, 20, 1 << 17])
+def test_lm_scores(spark, texts, head):
+    """Heads of any size give the same scores."""
     rng = random.Random(4)
     own = [*texts, *(prose(rng, 120) for _ in range(8)), "alpha1 beta2 alpha1 beta2 " * 50]
+    own += [own[-2]]  # a copy: each is known from the other
     target = [6, 7, 12, 13]
-    vocab_size, head, mu = 64, 20, 50.0
-    got = {r.doc_id: r for r in lmscore.score(docs(spark, own), spark.createDataFrame([(i,) for i in [*target, None]], "doc_id long"), vocab_size=vocab_size, head=head).collect()}
-    words = [lmscore.words(t) for t in own]
-    n = Counter(w for d in words for w in d)
-    classes = Counter(n.values())
-    keep, total = set(), 0
-    for c in sorted(classes, reverse=True):
-        total += classes[c]
-        if total > vocab_size - 1:
-            break
-        keep.add(c)
-    ids = {w: k + 1 for k, w in enumerate(sorted((w for w in n if n[w] in keep), key=lambda w: (-n[w], w)))}
-    coded = [[ids.get(w, 0) for w in d] for d in words]
-
-    def model(which):
-        pair, ctx, word = Counter(), Counter(), Counter()
-        for i in which:
-            for h, w in zip([vocab_size, *coded[i]], coded[i]):
-                pair[h, w] += 1
-                ctx[h] += 1
-                word[w] += 1
-        size = sum(word.values())
-        return lambda h, w: (pair[h, w] + mu * (word[w] + 1) / (size + vocab_size)) / (ctx[h] + mu)
-
-    b, t = model(range(len(own))), model(target)
-    for i, d in enumerate(coded):
-        want = np.mean([np.log(b(h, w)) - np.log(t(h, w)) for h, w in zip([vocab_size, *d], d)]) if d else 0.0
-        assert got[i].n_tokens == len(d) and abs(got[i].score - want) < 1e-9
-    assert lmscore.score(docs(spark, own).limit(0), spark.createDataFrame([], "doc_id long")).count() == 0
+    given = spark.createDataFrame([(str(i),) for i in [*target, None, "x"]], "doc_id string")
+    got = {r.doc_id: r for r in lmscore.score(docs(spark, own), given, head=head).collect()}
+    want = brute_scores(own, target)
+    assert len(got) == len(own)
+    for i, (n, s) in enumerate(want):
+        assert got[i].n_tokens == n and abs(got[i].score - s) < 1e-9
+
+
+def test_lm_scores_of_odd_tables(spark, texts):
+    own = docs(spark, texts)
+    none = spark.createDataFrame([], "doc_id long")
+    assert lmscore.score(own.limit(0), none).count() == 0
+    assert {r.score for r in lmscore.score(own, none).collect()} == {0.0}
+    rows = docs(spark, ["a b c", "a b d", "a b c", "x y"], [1, 1, None, 2])
+    got = {r.doc_id: r for r in lmscore.score(rows, spark.createDataFrame([(2,)], "doc_id long")).collect()}
+    want = brute_scores(["a b c", "a b d", "a b c", "x y"], [3])
+    assert set(got) == {1, 2} and got[1].n_tokens == 6 and abs(got[1].score - (want[0][1] + want[1][1]) / 2) < 1e-9 and abs(got[2].score - want[3][1]) < 1e-9
