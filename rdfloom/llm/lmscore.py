@@ -6,24 +6,27 @@ documents. A document's score is the mean, over its words and its end, of target
 loss less background loss (low: like the target). The document itself is left out
 of the counts of the models that hold it.
 
-    P(w | h) = (c(h, w) + MU * P(w)) / (c(h) + MU),    P(w) = (c(w) + 1) / (N + V)
+    P(w | h) = (c(h, w) + MU * P(w)) / (c(h) + MU),    P(w) = (c(w) + 1) / (N + 1)
 
 The models are matched in size: counts of the background are multiplied by the
-target's share of all tokens. These are the expected counts of a random sample as
-large as the target, so that neither model is smoothed more than the other, and yet
-every document counts.
-
-The vocabulary is every word of the corpus (V counts an end of text and an unknown
-word too), so it grows with the input. A word is known by a 64-bit hash. A text is
-read as START, its words, END, so that a word's count is its count as a context too.
-
-Counts meet the documents in one shuffle. The most frequent words (whole classes of
-equal counts, at most HEAD) are broadcast with their exact counts, and so are the
-bigrams of two such words that are most frequent in a sample of documents; what they
-contribute is summed inside the scan. Every other bigram of a document is a row,
-keyed by the bigram or, if its second word isn't in the head, by that word. The rows
-of a key then hold all that its counts are made of. Which words and bigrams are in
-the heads changes no score: it keeps keys from being hot.
+target's share of all tokens, so that both have N of them. These are the expected
+counts of a random sample as large as the target: neither model is smoothed more than
+the other, and yet every document counts. (The 1 of an unseen word isn't divided by
+the size of the vocabulary: the same constant in both.)
+
+The vocabulary is every word of the corpus, so it grows with the input. A word is
+known by a 64-bit hash. A text is read as START, its words, END, so that a word's
+count is its count as a context too.
+
+Counts meet the documents in one shuffle. The words and bigrams that are most frequent
+in a sample of documents (at most HEAD of each) are counted over the whole corpus and
+broadcast; what they contribute is summed inside the scan. Every other bigram of a
+document is a row, keyed by the bigram or, if its second word isn't in the head, by
+that word. The rows of a key then hold all that its counts are made of. What is in the
+heads changes no score: it keeps keys from being hot.
+
+Target ids are broadcast as bitmaps of 4 KB for each range of 32,768 ids that occurs,
+as long as there are at most RANGES of them; beyond that texts are joined with them.
 
 Defined cases: words are runs of non-space bytes, A-Z lower-cased. A null or empty
 text has no token, is in no model and scores 0. Rows whose id is null or isn't a whole
@@ -34,29 +37,36 @@ empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rdfloom.llm.common import WordHashes, fresh_path, small_batches
+from rdfloom.llm.common import small_batches
 
 #: Word keys of the places before and after a text; the end's is also the count of starts.
 START, END = 1, 2
 HEAD = 1 << 17
 #: Documents of the sample that the frequent bigrams are taken from.
 SAMPLE = 5000
+#: Ranges of target ids that are broadcast (32 MB).
+RANGES = 8192
 MU = 50.0
 #: Rows that a task holds at a time; words and bytes of text go by multiples of it.
 HELD = 1 << 19
-_HASHES = WordHashes(10)
+#: Different words that a worker remembers.
+KNOWN = 400_000
 
 Batches = Iterator[pa.RecordBatch]
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-#: Kinds of rows, in the lowest bits of their key: a document's sum, a bigram of the tail, a word of the tail.
+#: Counts of a table that one row carries.
+PART = 1 << 13
+#: Kinds of rows, in the lowest two bits of their key: a document's sum, a bigram of the tail (the place of its second word in the next 17 bits), a word of the tail.
 TOTAL, PAIR, WORD = 0, 1, 2
 
 
@@ -64,22 +74,6 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def _class(n: Column) -> Column:
-    """Class of a count: the count itself up to 4,096, then 256 classes an octave (some 20,000 in all)."""
-    return F.when(n <= 4096, n).otherwise(4096 + F.floor((F.log2(n) - 12) * 256)).cast("int")
-
-
-def most_frequent(counts: DataFrame, n: str, most: int) -> DataFrame:
-    """Rows of the highest classes of counts, as many whole classes as fit most rows. Only the classes' sizes reach the driver."""
-    total, least = 0, None
-    for r in sorted(counts.groupBy(_class(F.col(n)).alias("c")).count().collect(), reverse=True):
-        total += r["count"]
-        if total > most:
-            break
-        least = r.c
-    return counts.where(_class(F.col(n)) >= least if least is not None else F.lit(False))
-
-
 def _mix(h: np.ndarray, w: np.ndarray) -> np.ndarray:
     """One unsigned hash of two."""
     x = (h.view(np.uint64) ^ (h.view(np.uint64) >> np.uint64(29))) * _ODD + w.view(np.uint64)
@@ -87,11 +81,10 @@ def _mix(h: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 class Table:
-    """Sorted hashes with the counts of background and target; most hashes that aren't in it are told by a bitmap."""
+    """Sorted different hashes with the counts of background and target; most hashes that aren't in it are told by a bitmap."""
 
-    def __init__(self, keys: np.ndarray, b: np.ndarray, t: np.ndarray):
-        order = np.argsort(keys)
-        self.keys, self.b, self.t = keys[order], b[order].astype(float), t[order].astype(float)
+    def __init__(self, keys: np.ndarray):
+        self.keys, self.b, self.t = keys, np.zeros(len(keys)), np.zeros(len(keys))
         self.bits = np.zeros(1 << 22, dtype=bool)
         self.bits[self.keys >> np.uint64(42)] = True
 
@@ -106,20 +99,64 @@ class Table:
         return out
 
 
-def _texts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(words and ends, the word before each, words of each text) of the texts that have words."""
-    own = [words(t.as_py()) for t in texts]
-    n = np.array([len(x) for x in own], dtype=np.int64)
-    has = n > 0
-    flat = np.fromiter((_HASHES[x] for t in own for x in t), dtype=np.uint64, count=int(n.sum()))
-    ends = np.cumsum(n[has] + 1)
-    w = np.full(int(ends[-1]) if len(ends) else 0, END, dtype=np.uint64)
-    inside = np.ones(len(w), dtype=bool)
-    inside[ends - 1] = False
-    w[inside] = flat
-    h = np.concatenate([np.array([START], np.uint64), w[:-1]])[: len(w)]
-    h[ends[:-1]] = START
-    return w, h, n
+class Words(dict):
+    """word -> number, with the hash and the place in a table of each number; START and END are 0 and 1."""
+
+    def __init__(self, table: Table | None = None):
+        super().__init__()
+        self.table = table
+        self.reset()
+
+    def reset(self) -> None:
+        self.clear()
+        self.new: list[int] = [START, END]
+        self.hashes, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.settle()
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self.hashes) + len(self.new)
+        self.new.append(xxhash.xxh64_intdigest(word, 10))
+        return n
+
+    def settle(self) -> None:
+        found = np.array(self.new, dtype=np.uint64)
+        self.hashes = np.concatenate([self.hashes, found])
+        if self.table is not None:
+            self.places = np.concatenate([self.places, self.table.places(found)])
+        self.new = []
+
+    def read(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(numbers of words and ends, of the word before each, words of each text) of the texts that have words."""
+        if len(self) > KNOWN:
+            self.reset()
+        own = [words(t) for t in texts.to_pylist()]
+        n = np.array([len(x) for x in own], dtype=np.int64)
+        ends = np.cumsum(n[n > 0] + 1)
+        w = np.ones(int(ends[-1]) if len(ends) else 0, dtype=np.int64)
+        inside = np.ones(len(w), dtype=bool)
+        inside[ends - 1] = False
+        w[inside] = np.fromiter((self[x] for t in own for x in t), dtype=np.int64, count=int(n.sum()))
+        h = np.concatenate([[0], w[:-1]])[: len(w)]
+        h[ends[:-1]] = 0
+        if self.new:
+            self.settle()
+        return w, h, n
+
+
+class Ids:
+    """A set of whole numbers as bitmaps by range."""
+
+    def __init__(self, ranges: list):
+        self.low = np.array([r.low for r in ranges], dtype=np.int64)
+        self.bits = np.array([np.frombuffer(r.bits, np.uint8) for r in ranges]).reshape(len(ranges), 4096)
+
+    def has(self, ids: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(ids), dtype=bool)
+        if len(self.low):
+            at = np.minimum(np.searchsorted(self.low, ids >> 15), len(self.low) - 1)
+            place = ids & 32767
+            out = (self.low[at] == ids >> 15) & (self.bits[at, place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
+        return out
 
 
 def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -138,86 +175,115 @@ def _sums(keys: np.ndarray, *weights: np.ndarray) -> tuple[np.ndarray, ...]:
     return own, *(np.bincount(at, x, minlength=len(own)) for x in weights)
 
 
-def _counts(key: str, keys: np.ndarray, b: np.ndarray, t: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(b.astype(np.int64)), pa.array(t.astype(np.int64))], names=[key, "b", "t"])
+def _added(sums: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    return _sums(*(np.concatenate(x) for x in zip(*sums)))
+
 
+def _packed(sums: tuple[np.ndarray, ...], buckets: int) -> pa.RecordBatch:
+    """A row for each bucket of ids: differences of sorted ids, words and ends, compressed, and the sums."""
+    ids, n, ends, v = sums
+    bucket = (_mix(ids, ids) % np.uint64(buckets)).astype(np.int32)
+    order = np.lexsort((ids, bucket))
+    cuts = np.concatenate([[0], np.nonzero(np.diff(bucket[order]))[0] + 1, [len(ids)]])
+    found = []
+    for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        own = order[lo:hi]
+        plain = np.concatenate([np.diff(ids[own], prepend=0), n[own].astype(np.int64), ends[own].astype(np.int64)])
+        found.append(v[own].tobytes() + zlib.compress(plain.tobytes(), 1) + (hi - lo).to_bytes(8, "little"))
+    return pa.RecordBatch.from_arrays([pa.array(bucket[order][cuts[:-1]]), pa.array(found, pa.binary())], names=["bucket", "sums"])
 
-def _pairs_of(docs: DataFrame, head: int) -> np.ndarray:
-    """Hashes of the bigrams that are most frequent in a sample of documents."""
-    n = docs.count()
-    share = min(1.0, SAMPLE / max(1, n))
+
+def _unpacked(data: bytes) -> tuple[np.ndarray, ...]:
+    n = int.from_bytes(data[-8:], "little")
+    ids, words_, ends = np.frombuffer(zlib.decompress(data[8 * n : -8]), np.int64).reshape(3, n)
+    return np.cumsum(ids), words_, ends, np.frombuffer(data[: 8 * n])
+
+
+def _heads_of(docs: DataFrame, head: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words and of the bigrams that are most frequent in a sample of documents."""
+    share = min(1.0, SAMPLE / max(1, docs.count()))
     sample = docs.where(F.pmod(F.xxhash64("t", F.lit("sample")), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
 
     def run(batches: Batches) -> Batches:
+        known = Words()
         for batch in batches:
             for part in _slices(batch):
-                w, h, _ = _texts(part.column(0))
-                k, c = _sums(_mix(h, w), np.ones(len(w)))
-                yield _counts("k", k, c, c)
+                w, h, _ = known.read(part.column(0))
+                for kind, own in ((0, known.hashes[w]), (1, _mix(known.hashes[h], known.hashes[w]))):
+                    k, c = np.unique(own, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k.view(np.int64)), pa.array(c)], names=["kind", "k", "c"])
+
+    found = sample.select("t").mapInArrow(run, "kind int, k long, c long").groupBy("kind", "k").agg(F.sum("c").alias("c")).where("c > 1")
+    words_, pairs = (found.where(f"kind = {kind}").orderBy(F.desc("c"), "k").limit(head).toArrow().column("k").to_numpy().view(np.uint64) for kind in (0, 1))
+    return np.unique(np.append(words_, np.uint64(END))), np.unique(pairs)
 
-    found = sample.select("t").mapInArrow(run, "k long, b long, t long").groupBy("k").agg(F.sum("b").alias("b")).where("b > 1")
-    top = found.orderBy(F.desc("b"), "k").limit(head).toArrow()
-    return top.column("k").to_numpy().view(np.uint64)
 
+def _summed(tables: DataFrame, sizes: list[int]) -> list[np.ndarray]:
+    """Counts of all tasks, in arrays of the given sizes: parts of packed counts, added up by part."""
 
-def score(docs: DataFrame, target_ids: DataFrame, doc_id: str = "doc_id", text: str = "text", head: int = HEAD, mu: float = MU) -> DataFrame:
+    def add(rows: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(zlib.decompress(x), np.int64) for x in rows.column("counts").to_pylist())
+        return pa.table({"part": rows.column("part")[:1], "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+
+    out = [np.zeros(n, dtype=np.int64) for n in sizes]
+    for r in tables.groupBy("part").applyInArrow(add, "part int, counts binary").collect():
+        own = np.frombuffer(zlib.decompress(r.counts), np.int64)
+        out[r.part & 3][(r.part >> 2) * PART :][: len(own)] = own
+    return out
+
+
+def score(docs: DataFrame, target_ids: DataFrame, doc_id: str = "doc_id", text: str = "text", head: int = HEAD - 1, mu: float = MU) -> DataFrame:
     """(doc_id, n_tokens, score) for each id; target_ids: one column of the ids of target documents."""
+    if not 0 <= head < HEAD:
+        raise ValueError(f"head is at most {HEAD - 1}")
     spark = docs.sparkSession
     small_batches(spark)
     own = docs.select(F.col(text).alias("t"), F.col(doc_id).try_cast("long").alias("doc_id"))
-    wanted = target_ids.select(F.col(target_ids.columns[0]).try_cast("long").alias("doc_id"), F.lit(True).alias("target")).where("doc_id is not null").distinct()
-    marked = own.join(wanted, "doc_id", "left").select("t", "doc_id", F.coalesce("target", F.lit(False)).alias("target"))
-    chosen = spark.sparkContext.broadcast(np.sort(_pairs_of(own, head)))
-
-    def flags(part: pa.RecordBatch, n: np.ndarray) -> np.ndarray:
-        return np.repeat(part.column(2).to_numpy(zero_copy_only=False).astype(float)[n > 0], n[n > 0] + 1)
+    wanted = target_ids.select(F.col(target_ids.columns[0]).try_cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    ranges = wanted.groupBy(F.shiftright("doc_id", 15).alias("low")).agg(F.bitmap_construct_agg(F.pmod("doc_id", F.lit(32768))).alias("bits")).orderBy("low").limit(RANGES + 1).collect()
+    ids = None
+    if len(ranges) <= RANGES:
+        ids = spark.sparkContext.broadcast(Ids(ranges))
+        marked = own
+    else:
+        marked = own.join(wanted.withColumn("target", F.lit(True)), "doc_id", "left").select("t", "doc_id", F.coalesce("target", F.lit(False)).alias("target"))
+    tables = spark.sparkContext.broadcast(tuple(map(Table, _heads_of(own, head))))
+
+    def about(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(id or 0, whether there is one, whether it is a target) of each row."""
+        known = part.column(1).is_valid().to_numpy(zero_copy_only=False)
+        own_ids = part.column(1).fill_null(0).to_numpy()
+        return own_ids, known, known & ids.value.has(own_ids) if ids is not None else part.column(2).to_numpy(zero_copy_only=False)
 
     def count(batches: Batches) -> Batches:
-        """Counts of words (k null) and of the chosen bigrams (w null)."""
-        pairs = Table(chosen.value, np.zeros(len(chosen.value)), np.zeros(len(chosen.value)))
-        held, size = [], 0
-
-        def out(own: str, k: np.ndarray, b: np.ndarray, t: np.ndarray) -> pa.RecordBatch:
-            none = pa.nulls(len(k), pa.int64())
-            found = pa.array(k.view(np.int64))
-            return pa.RecordBatch.from_arrays([found if own == "w" else none, found if own == "k" else none, pa.array(b.astype(np.int64)), pa.array(t.astype(np.int64))], names=["w", "k", "b", "t"])
-
+        """Counts of the heads' words and bigrams and of all tokens, in parts: of all documents, then of the targets."""
+        heads, pairs = tables.value
+        known = Words(heads)
+        total = [np.zeros((2, n), dtype=np.int64) for n in (len(heads.keys), len(pairs.keys), 1)]
         for batch in batches:
             for part in _slices(batch):
-                w, h, n = _texts(part.column(0))
-                target = flags(part, n)
-                at = pairs.places(_mix(h, w))
-                on = at >= 0
-                pairs.b += np.bincount(at[on], minlength=len(pairs.b))
-                pairs.t += np.bincount(at[on], target[on], minlength=len(pairs.t))
-                held.append(_sums(w, np.ones(len(w)), target))
-                size += len(held[-1][0])
-                if size > 4 * HELD:
-                    yield out("w", *_sums(*(np.concatenate(x) for x in zip(*held))))
-                    held, size = [], 0
-        if size:
-            yield out("w", *_sums(*(np.concatenate(x) for x in zip(*held))))
-        if (some := pairs.b > 0).any():
-            yield out("k", pairs.keys[some], pairs.b[some], pairs.t[some])
-
-    at = fresh_path(spark, "lm-counts")
-    marked.mapInArrow(count, "w long, k long, b long, t long").groupBy("w", "k").agg(F.sum("b").alias("b"), F.sum("t").alias("t")).write.option("compression", "zstd").parquet(at)
-    counts = spark.read.parquet(at)
-    of_words = counts.where("w is not null")
-    size = of_words.agg(F.count(F.lit(1)).alias("v"), F.sum("b").alias("b"), F.sum("t").alias("t")).first()
-    vocab, n_b, n_t = size.v + 1, float(size.b or 0), float(size.t or 0)  # END is one of v
+                w, h, n = known.read(part.column(0))
+                target = np.repeat(about(part)[2][n > 0], n[n > 0] + 1)
+                for places, out in zip((known.places[w], pairs.places(_mix(known.hashes[h], known.hashes[w])), np.zeros(len(w), np.int64)), total):
+                    on = places >= 0
+                    out[0] += np.bincount(places[on], minlength=out.shape[1])
+                    out[1] += np.bincount(places[on & target], minlength=out.shape[1])
+        for which, out in enumerate(x.reshape(-1) for x in total):
+            if out.any():
+                at = range(0, len(out), PART)
+                yield pa.RecordBatch.from_arrays([pa.array([(i // PART) << 2 | which for i in at], pa.int32()), pa.array([zlib.compress(out[i : i + PART].tobytes(), 1) for i in at], pa.binary())], names=["part", "counts"])
+
+    found = _summed(marked.mapInArrow(count, "part int, counts binary"), [2 * n for n in (*(len(t.keys) for t in tables.value), 1)])
+    for t, x in zip(tables.value, found):
+        t.b, t.t = x.reshape(2, -1).astype(float)
+    shipped = spark.sparkContext.broadcast(tables.value)
+    n_b, n_t = found[2].tolist()
     ratio = n_t / n_b if n_b else 0.0
 
-    def table(rows: pa.Table, key: str) -> Table:
-        return Table(rows.column(key).to_numpy().view(np.uint64), rows.column("b").to_numpy(), rows.column("t").to_numpy())
-
-    top = most_frequent(of_words, "b", head).union(of_words.where(f"w = {END}")).distinct().select("w", "b", "t").toArrow()
-    shipped = spark.sparkContext.broadcast((table(top, "w"), table(counts.where("k is not null").select("k", "b", "t").toArrow(), "k")))
-
     def gain(c, b, t, wb, wt, own_b, own_t, target):
         """c times the log of background over target, of the numerators of P(w | h); all without the own counts."""
-        background = ratio * (b - c) + mu * (ratio * (wb - own_b) + 1) / (n_t + vocab)
-        return c * np.log(background / ((t - c * target) + mu * (wt - own_t + 1) / (n_t + vocab)))
+        background = ratio * (b - c) + mu * (ratio * (wb - own_b) + 1) / (n_t + 1)
+        return c * np.log(background / ((t - c * target) + mu * (wt - own_t + 1) / (n_t + 1)))
 
     def context(c, b, t, own_b, own_t):
         """The same of the denominators, for a context that occurs c times."""
@@ -226,54 +292,46 @@ def score(docs: DataFrame, target_ids: DataFrame, doc_id: str = "doc_id", text:
     def scan(batches: Batches) -> Batches:
         """A row with the sum of the heads for each document, and a row for each bigram of the tails."""
         heads, pairs = shipped.value
+        words_ = Words(heads)
         for batch in batches:
             for part in _slices(batch):
-                w, h, n = _texts(part.column(0))
-                ids = part.column(1)
-                known = ids.is_valid().to_numpy(zero_copy_only=False)
-                ids = ids.fill_null(0).to_numpy()
-                flag = part.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
+                w, h, n = words_.read(part.column(0))
+                ids_, known, target = about(part)
+                flag = target.astype(np.int64)
                 doc = np.repeat(np.nonzero(n > 0)[0], n[n > 0] + 1)
                 sums = np.zeros(len(n))
                 if len(w):
-                    # words of each document, by hash and document
-                    order = np.lexsort((w, doc))
-                    ws, ds = w[order], doc[order]
-                    first = np.concatenate([[True], (ws[1:] != ws[:-1]) | (ds[1:] != ds[:-1])])
-                    group = np.empty(len(w), dtype=np.int64)
-                    group[order] = np.cumsum(first) - 1
-                    starts = np.nonzero(first)[0]
-                    c_word, w_word, d_word = np.diff(np.append(starts, len(ws))).astype(float), ws[starts], ds[starts]
-                    p_word = heads.places(w_word)
-                    on = p_word >= 0
-                    p, c, g = p_word[on], c_word[on], flag[d_word[on]]
-                    sums += np.bincount(d_word[on], context(c, heads.b[p], heads.t[p], c, c * g), minlength=len(n))
-                    # bigrams: rows of the same document and pair of words
-                    mixed = _mix(h, w)
-                    order = np.lexsort((mixed, doc))
-                    ms, ds = mixed[order], doc[order]
-                    starts = np.nonzero(np.concatenate([[True], (ms[1:] != ms[:-1]) | (ds[1:] != ds[:-1])]))[0]
-                    c = np.diff(np.append(starts, len(ms)))
-                    rep = order[starts]
-                    key, d, of = mixed[rep], doc[rep], group[rep]
-                    place, own_w = p_word[of], c_word[of]
+                    base = len(words_.hashes)
+                    by_word, own_count = np.unique(doc * base + w, return_counts=True)
+                    d, x, c = by_word // base, by_word % base, own_count.astype(float)
+                    p = words_.places[x]
+                    on = p >= 0
+                    p, c, g = p[on], c[on], flag[d[on]]
+                    sums += np.bincount(d[on], context(c, heads.b[p], heads.t[p], c, c * g), minlength=len(n))
+                    # bigrams of each document, in its order of words
+                    order = np.argsort((doc * base + w) * base + h)
+                    both = ((doc * base + w) * base + h)[order]
+                    starts = np.nonzero(np.concatenate([[True], both[1:] != both[:-1]]))[0]
+                    c, both = np.diff(np.append(starts, len(both))), both[starts]
+                    own = own_count[np.searchsorted(by_word, both // base)]
+                    hs, ws, d = words_.hashes[both % base], words_.hashes[both // base % base], both // base // base
+                    key, place = _mix(hs, ws), words_.places[both // base % base]
                     pair = np.where(place >= 0, pairs.places(key), -1)
                     on = pair >= 0
-                    p, q, o, g = place[on], pair[on], own_w[on], flag[d[on]]
+                    p, q, o, g = place[on], pair[on], own[on], flag[d[on]]
                     sums += np.bincount(d[on], gain(c[on], pairs.b[q], pairs.t[q], heads.b[p], heads.t[p], o, o * g, g), minlength=len(n))
                     rest = np.nonzero(~on)[0]
-                    tail = place[rest] < 0
-                    kind = np.where(tail, WORD, PAIR).astype(np.uint64)
-                    keys = (np.where(tail, w[rep[rest]], key[rest]) & ~np.uint64(3)) | kind
-                    about = np.where(tail, h[rep[rest]].view(np.int64), place[rest])
-                    packed = (c[rest] << 32) | (own_w[rest].astype(np.int64) << 2) | (flag[d[rest]] << 1) | known[d[rest]]
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(about), pa.array(ids[d[rest]]), pa.array(packed)], names=["key", "about", "doc_id", "packed"])
+                    place, d = place[rest], d[rest]
+                    tail = place < 0
+                    keys = np.where(tail, ws[rest] & ~np.uint64(3) | np.uint64(WORD), (key[rest] >> np.uint64(19) << np.uint64(19)) | (np.maximum(place, 0).astype(np.uint64) << np.uint64(2)) | np.uint64(PAIR))
+                    packed = (c[rest] << 32) | (own[rest] << 2) | (flag[d] << 1) | known[d]
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.where(tail, hs[rest].view(np.int64), 0)), pa.array(ids_[d]), pa.array(packed)], names=["key", "about", "doc_id", "packed"])
                 at = np.nonzero(known)[0]
-                keys = (_mix(ids[at], ids[at]) & ~np.uint64(3)) | np.uint64(TOTAL)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(sums[at].view(np.int64)), pa.array(ids[at]), pa.array(n[at])], names=["key", "about", "doc_id", "packed"])
+                keys = (_mix(ids_[at], ids_[at]) & ~np.uint64(3)) | np.uint64(TOTAL)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(sums[at].view(np.int64)), pa.array(ids_[at]), pa.array(n[at])], names=["key", "about", "doc_id", "packed"])
 
-    def settle(key: np.ndarray, about: np.ndarray, ids: np.ndarray, packed: np.ndarray) -> pa.RecordBatch:
-        """(doc_id, n, v) of rows that hold whole keys, a row for each document."""
+    def settle(key: np.ndarray, about: np.ndarray, ids: np.ndarray, packed: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(id, words, ends, sum) of each document in rows that hold whole keys."""
         heads, _ = shipped.value
         kind = key & 3
         total = kind == TOTAL
@@ -292,18 +350,34 @@ def score(docs: DataFrame, target_ids: DataFrame, doc_id: str = "doc_id", text:
             group = np.cumsum(new) - 1
             b, t = np.bincount(group, x)[group], np.bincount(group, x * g)[group]
             if of == PAIR:
-                wb, wt = heads.b[a], heads.t[a]
+                place = (k >> 2) & (HEAD - 1)
+                wb, wt = heads.b[place], heads.t[place]
                 value[on] = gain(x, b, t, wb, wt, o, o * g, g)
             else:
                 sub = np.cumsum(new | np.concatenate([[True], a[1:] != a[:-1]])) - 1
                 pb, pt = np.bincount(sub, x)[sub], np.bincount(sub, x * g)[sub]
                 value[on] = gain(x, pb, pt, b, t, o, o * g, g) + context(x, b, t, o, o * g)
         n = np.where(total, packed, 0)
-        own_ids, n, ends, v = _sums(ids[known], n[known], (n > 0)[known], value[known])
-        return pa.RecordBatch.from_arrays([pa.array(own_ids), pa.array(n.astype(np.int64)), pa.array(ends.astype(np.int64)), pa.array(v)], names=["doc_id", "n", "ends", "v"])
+        return _sums(ids[known], n[known], (n > 0)[known], value[known])
 
     def meet(batches: Batches) -> Batches:
+        """The sums of the documents that a task has seen, packed by bucket."""
         held, size = [], 0
+        sums, count_ = [], 0
+
+        def keep(x: tuple[np.ndarray, ...]) -> Batches:
+            nonlocal sums, count_
+            if not len(x[0]):  # rows without an id only
+                return
+            sums.append(x)
+            count_ += len(x[0])
+            if count_ > 4 * HELD:
+                sums = [_added(sums)]
+                count_ = len(sums[0][0])
+                if count_ > 2 * HELD:
+                    yield _packed(sums[0], buckets)
+                    sums, count_ = [], 0
+
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -314,13 +388,38 @@ def score(docs: DataFrame, target_ids: DataFrame, doc_id: str = "doc_id", text:
             cols = [np.concatenate(x) for x in zip(*held)]
             stop = int(np.searchsorted(cols[0], cols[0][-1]))  # the last key may go on
             if stop:
-                yield settle(*(x[:stop] for x in cols))
+                yield from keep(settle(*(x[:stop] for x in cols)))
             held = [[x[stop:] for x in cols]]
             size = len(held[0][0])
         if held:
-            yield settle(*(np.concatenate(x) for x in zip(*held)))
+            yield from keep(settle(*(np.concatenate(x) for x in zip(*held))))
+        if count_:
+            yield _packed(_added(sums), buckets)
+
+    def total(batches: Batches) -> Batches:
+        """(doc_id, n, ends, v) of each bucket; rows are sorted by bucket."""
+        now, held, size = None, [], 0
+
+        def out() -> pa.RecordBatch:
+            ids_, n, ends, v = _added(held)
+            return pa.RecordBatch.from_arrays([pa.array(ids_), pa.array(n.astype(np.int64)), pa.array(ends.astype(np.int64)), pa.array(v)], names=["doc_id", "n", "ends", "v"])
+
+        for batch in batches:
+            for bucket, sums in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if bucket != now and held:
+                    yield out()
+                    held, size = [], 0
+                now = bucket
+                held.append(_unpacked(sums.as_py()))
+                size += len(held[-1][0])
+                if size > 4 * HELD:
+                    held = [_added(held)]
+                    size = len(held[0][0])
+        if held:
+            yield out()
 
+    buckets = max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = marked.mapInArrow(scan, "key long, about long, doc_id long, packed long")
-    met = rows.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "doc_id long, n long, ends long, v double")
-    out = met.groupBy("doc_id").agg(F.sum("n").alias("n_tokens"), F.sum("ends").alias("ends"), F.sum("v").alias("v"))
-    return out.select("doc_id", "n_tokens", F.when(F.col("n_tokens") > 0, F.col("v") / (F.col("n_tokens") + F.col("ends"))).otherwise(F.lit(0.0)).alias("score"))
+    met = rows.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "bucket int, sums binary")
+    out = met.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(total, "doc_id long, n long, ends long, v double")
+    return out.select("doc_id", F.col("n").alias("n_tokens"), F.when(F.col("n") > 0, F.col("v") / (F.col("n") + F.col("ends"))).otherwise(F.lit(0.0)).alias("score"))

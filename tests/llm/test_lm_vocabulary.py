@@ -14,3 +14,8 @@ def test_every_word_is_in_the_vocabulary(spark):
     assert all(abs(got[i] - s) < 1e-9 for i, (_, s) in enumerate(want))
     once, twice = [got[i] for i in range(400, 420)], [got[i] for i in range(400) if i not in (3, 203)]
     assert max(once) < min(twice) and got[203] < min(once)
+
+
+def test_rows_without_an_id_only(spark):
+    docs = spark.createDataFrame([(None, "a b c"), (None, None)], "doc_id long, text string")
+    assert lmscore.score(docs, spark.createDataFrame([(1,)], "doc_id long")).count() == 0

@@ -230,7 +230,7 @@ def brute_scores(texts, target, mu=50.0):
             pair[m].update(zip(s, s[1:]))
             word[m].update(s[1:])
     n = [sum(w.values()) for w in word]
-    vocab, ratio = len(word[0]) + 1, n[1] / n[0] if n[0] else 0.0
+    ratio = n[1] / n[0] if n[0] else 0.0
     out = []
     for i, s in enumerate(seen):
         own, own_w, total = Counter(zip(s, s[1:])), Counter(s[1:]), 0.0
@@ -240,15 +240,16 @@ def brute_scores(texts, target, mu=50.0):
                 mine = m == 0 or i in target
                 context = 2 if h == 1 else h  # as many starts as ends
                 c = [scale * (x[k] - mine * o[k]) for x, o, k in ((pair[m], own, (h, w)), (word[m], own_w, w), (word[m], own_w, context))]
-                p.append((c[0] + mu * (c[1] + 1) / (n[1] + vocab)) / (c[2] + mu))
+                p.append((c[0] + mu * (c[1] + 1) / (n[1] + 1)) / (c[2] + mu))
             total += np.log(p[0] / p[1])
         out.append((max(0, len(s) - 2), total / (len(s) - 1) if s else 0.0))
     return out
 
 
-@pytest.mark.parametrize("head", [0, 20, 1 << 17])
-def test_lm_scores(spark, texts, head):
-    """Heads of any size give the same scores."""
+@pytest.mark.parametrize(("head", "ranges"), [(0, 8192), (20, 0), (1 << 16, 8192)])
+def test_lm_scores(spark, texts, head, ranges, monkeypatch):
+    """Heads of any size, and targets as bitmaps or joined, give the same scores."""
+    monkeypatch.setattr(lmscore, "RANGES", ranges)
     rng = random.Random(4)
     own = [*texts, *(prose(rng, 120) for _ in range(8)), "alpha1 beta2 alpha1 beta2 " * 50]
     own += [own[-2]]  # a copy: each is known from the other
