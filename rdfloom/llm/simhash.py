@@ -18,8 +18,9 @@ pair of segments again. A pair at 0.8 shares a key with a probability of 0.98, o
 at 0.85 of 0.997, one at 0.9 of 0.9999 (measured in tests). Pairs of a bucket that
 are near in all 128 bits are candidates, and each candidate is verified on the whole
 sets, so that nothing below the bound is linked. A bucket first compares its members
-with few central ones, so that a group of copies costs its size; what that leaves
-in different components is compared pair by pair.
+with few central ones, so that a group of copies costs its size. What that leaves in
+different components is compared inside of tasks, by families of texts that near
+bits connect, in pairs of blocks of bounded size; each emits a spanning forest.
 
 Buckets are streamed in sorted order. One that is larger than BUCKET goes on to a
 second pass, dealt as pairs of blocks of at most that size, so that no task holds
@@ -56,6 +57,8 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 PAIRS = ((0, 1), (0, 2), (1, 2))
 #: Fingerprints of a key bucket that one task holds at a time.
 BUCKET = 2048
+#: Sets of shingles of a family that one task holds at a time.
+FAMILY = 1024
 #: Rows that one task turns into keys.
 NODES = 8192
 
@@ -220,7 +223,7 @@ def _link(rows: DataFrame, name: str, max_bits: int, bucket: int) -> DataFrame:
 def _dealt(over: DataFrame, half: int, *columns: str) -> DataFrame:
     """Rows of hot keys as pairs of blocks of about half rows, under the name of the pair: (pair, columns)."""
     blocks = over.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / half).cast("int").alias("n"))
-    dealt = over.join(blocks, "key").withColumn("i", F.pmod(F.xxhash64(*columns, "key"), F.col("n")).cast("int"))
+    dealt = over.join(blocks, "key").withColumn("i", F.pmod(F.xxhash64(columns[0], "key"), F.col("n")).cast("int"))
     dealt = dealt.select("key", "i", *columns, F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("j"))
     return dealt.select(F.concat_ws("/", "key", F.least("i", "j"), F.greatest("i", "j")).alias("pair"), *columns)
 
@@ -322,21 +325,35 @@ def _stars(d: np.ndarray, most: int) -> tuple[list[tuple[int, np.ndarray]], bool
     """(centre, members) until every near pair has an end that is covered, and whether a near pair is in no star."""
     near = d <= most
     np.fill_diagonal(near, False)
-    stars, free, covered = [], near.any(axis=1), 0
+    own = np.nonzero(near.any(axis=1))[0]  # most members of a bucket are near to none
+    near, d = near[np.ix_(own, own)], d[np.ix_(own, own)]
+    stars, free = [], np.ones(len(own), dtype=bool)
     while free.any():
-        degree = np.where(free, near[:, free].sum(axis=1) if len(stars) else near.sum(axis=1), -1)
+        degree = near[:, free].sum(axis=1)
+        degree[~free] = -1
         centre = int(np.lexsort((np.where(near, d, 0).sum(axis=1, dtype=np.int64), -degree))[0])
         members = np.nonzero(near[centre])[0]
-        stars.append((centre, members))
-        covered += len(members)
+        stars.append((int(own[centre]), own[members]))
         near[centre, :] = near[:, centre] = False
         free[centre] = False
         free[members] = False
     return stars, bool(near.any())
 
 
+def _labels(near: np.ndarray) -> np.ndarray:
+    """The smallest index that each row reaches."""
+    label = np.arange(len(near))
+    reach = near | np.eye(len(near), dtype=bool)
+    while True:
+        new = np.where(reach, label[None, :], len(near)).min(axis=1)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
 def _candidates(rows: DataFrame, name: str, most: int, bucket: int) -> DataFrame:
-    """(a, b, node, lo, hi, name): edges a, b of the stars of each bucket; members of buckets with other near pairs (kind 2); rows of longer runs (kind 1)."""
+    """(a, b, lo, hi, name, kind): edges of the stars of each bucket (kind 0); where near pairs are in no star, edges that connect them (kind 2); rows of longer runs (kind 1, b null)."""
     kind = rows.schema[name].dataType.simpleString()
 
     def found(batches: Batches) -> Iterator[tuple]:
@@ -351,7 +368,9 @@ def _candidates(rows: DataFrame, name: str, most: int, bucket: int) -> DataFrame
             for centre, members in stars:
                 yield np.full(len(members), node[centre]), node[members], None, None, None, 0
             if more:
-                yield node, None, lo, hi, key, 2
+                label = _labels(d <= most)
+                own = np.nonzero(label != np.arange(len(label)))[0]
+                yield node[own], node[label[own]], None, None, None, 2
 
     def run(batches: Batches) -> Batches:
         return _gathered(found(batches), f"a b lo hi {name} kind", [pa.int64()] * 4 + [pa.int32() if kind == "int" else pa.string(), pa.int32()])
@@ -359,19 +378,41 @@ def _candidates(rows: DataFrame, name: str, most: int, bucket: int) -> DataFrame
     return rows.select(name, "node", "lo", "hi").repartition(name).sortWithinPartitions(name).mapInArrow(run, f"a long, b long, lo long, hi long, {name} {kind}, kind int")
 
 
-def _across(rows: DataFrame, most: int) -> DataFrame:
-    """(a, b): near pairs of each bucket that have different roots; rows: key, node, lo, hi, root."""
+def _joined(node: np.ndarray, root: np.ndarray, lo: np.ndarray, hi: np.ndarray, sets: list[np.ndarray], most: int, similarity: float) -> list[tuple[int, int]]:
+    """Edges that connect the roots of which some near members are alike: every near pair of different roots is looked at, as long as its roots aren't connected yet."""
+    d = _distances(lo, hi) <= most
+    size = np.array([len(x) for x in sets])
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    starts = np.cumsum(size) - size
+    label, mark, out = np.unique(root, return_inverse=True)[1], np.zeros(ids.max() + 1, np.int32), []
+    for i in range(len(node) - 1):
+        fits = np.minimum(size[i], size[i + 1 :]) >= similarity * np.maximum(size[i], size[i + 1 :]) - 1e-9
+        open_ = d[i, i + 1 :] & fits
+        if not (open_ & (label[i + 1 :] != label[i])).any():
+            continue
+        own = ids[starts[i] : starts[i] + size[i]]
+        mark[own] = 1
+        both = np.add.reduceat(mark[ids[starts[i + 1] :]], starts[i + 1 :] - starts[i + 1])
+        mark[own] = 0
+        for j in np.nonzero(open_ & (both >= similarity * (size[i] + size[i + 1 :] - both) - 1e-9))[0] + i + 1:
+            if label[j] != label[i]:
+                out.append((node[i], node[j]))
+                label[label == label[j]] = label[i]
+    return out
+
+
+def _across(rows: DataFrame, most: int, similarity: float) -> DataFrame:
+    """(a, b): edges between the roots of each group that have members alike; rows: pair, node, root, lo, hi, s."""
 
     def found(batches: Batches) -> Iterator[tuple]:
-        for _, (node, lo, hi, root), _ in _runs(batches, 1 << 30):
-            i, j = np.nonzero(np.triu((_distances(lo, hi) <= most) & (root[:, None] != root), 1))
-            if len(i):
-                yield np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+        for _, (node, root, lo, hi, s), _ in _runs(batches, 1 << 30):
+            if edges := _joined(node, root, lo, hi, list(s), most, similarity):
+                yield tuple(np.array(edges, dtype=np.int64).T)
 
     def run(batches: Batches) -> Batches:
         return _gathered(found(batches), "a b", [pa.int64()] * 2)
 
-    return rows.select("key", "node", "lo", "hi", "root").repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+    return rows.select("pair", "node", "root", "lo", "hi", "s").repartition("pair").sortWithinPartitions("pair").mapInArrow(run, "a long, b long")
 
 
 def _alike(a: Column, b: Column, similarity: float) -> Column:
@@ -428,18 +469,18 @@ def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     hot = cut(_candidates(_dealt(over, bucket // 2, "node", "lo", "hi"), "pair", most, 1 << 30))
     edge = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     tried = cut(found.where("kind = 0").select(*edge).union(hot.where("kind = 0").select(*edge)).distinct())
-    open_ = found.where("kind = 2").select(F.col("key").cast("string").alias("key"), F.col("a").alias("node"), "lo", "hi")
-    open_ = open_.union(hot.where("kind = 2").select("pair", "a", "lo", "hi"))
+    # what may be alike beyond the stars lies in one family
+    family = cut(components(found.where("kind = 2").select("a", "b").union(hot.where("kind = 2").select("a", "b")))).toDF("node", "key")
 
-    wanted = tried.select("a").union(tried.select("b")).union(open_.select("node")).toDF("node").distinct()
+    wanted = tried.select("a").union(tried.select("b")).union(family.select("node")).toDF("node").distinct()
     sets = _sets(source, cut(wanted.join(nodes.select("node", "doc_id"), "node")), width)
     links = _verified(tried, sets, similarity)
     roots = components(links).toDF("node", "root")
-    labelled = cut(open_.join(roots, "node", "left").select("key", "node", "lo", "hi", F.coalesce("root", "node").alias("root")))
+    labelled = cut(family.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")))
     mixed = labelled.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("key")
-    left = cut(_across(labelled.join(mixed, "key"), most).distinct()).join(tried, ["a", "b"], "left_anti")
-    links = links.union(_verified(left, sets, similarity))
-    roots = components(links).toDF("node", "root")
+    left = labelled.join(mixed, "key").join(nodes.select("node", "lo", "hi"), "node").join(sets.where(F.size("s") > 0), "node")
+    left = _across(_dealt(left, FAMILY // 2, "node", "root", "lo", "hi", "s"), most, similarity)
+    roots = components(links.union(cut(left))).toDF("node", "root")
     return own.select("doc_id", "node").join(roots, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
 
 

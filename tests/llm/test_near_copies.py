@@ -63,6 +63,33 @@ def test_dense_groups_of_near_copies(spark, bucket):
         assert len({want[i] for i in g}) == 1
 
 
+def test_families_are_joined_exactly():
+    """Edges of a block connect the same members as all its near pairs do, and stay within them."""
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        sets = []
+        for _ in range(4):
+            base = rng.integers(0, 1 << 62, 40, dtype=np.uint64)
+            sets += [np.unique(np.where(rng.random(40) < rng.random() * 0.2, rng.integers(0, 1 << 62, 40, dtype=np.uint64), base)) for _ in range(8)]
+        m = np.array([simhash.margins(x) for x in sets])
+        lo, hi = np.packbits(m > 0, axis=1, bitorder="little").view(np.int64).T.copy()
+        most, n = simhash.max_distance(0.8), len(sets)
+        d = simhash._distances(lo, hi)
+        alike = lambda i, j: d[i, j] <= most and len(set(sets[i].tolist()) & set(sets[j].tolist())) >= 0.8 * len(set(sets[i].tolist()) | set(sets[j].tolist()))
+        root = np.arange(n) // 2 * 2  # some are joined already
+        edges = simhash._joined(np.arange(n), root, lo, hi, [x.view(np.int64) for x in sets], most, 0.8)
+        assert all(alike(i, j) and root[i] != root[j] for i, j in edges) and len(edges) < n
+
+        def connected(pairs):
+            label = root.copy()
+            for _ in range(n):
+                for i, j in pairs:
+                    label[label == max(label[i], label[j])] = min(label[i], label[j])
+            return label.tolist()
+
+        assert connected(edges) == connected([(i, j) for i in range(n) for j in range(i) if alike(i, j)])
+
+
 def test_recall_of_keys():
     """The share of pairs that share a key, by similarity; and the bound on differing bits."""
     rng = np.random.default_rng(8)
