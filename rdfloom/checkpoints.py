@@ -3,14 +3,29 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, materialised by checkpoint(); the folder is spark.checkpoint.dir, a temporary one only where that is unset."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a temporary folder only where that is unset and driver and executors are one process."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rdfloom-"))
+        at = spark.conf.get("spark.checkpoint.dir", None)
+        if not at:
+            if sc.master != "local" and not sc.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            at = tempfile.mkdtemp(prefix="rdfloom-")
+        sc.setCheckpointDir(at)
+    return sc.getCheckpointDir()
+
+
+def fresh_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/rounds-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, materialised by checkpoint()."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

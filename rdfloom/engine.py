@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -10,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rdfloom.config import Settings
-from rdfloom.errors import QueryError
+from rdfloom.errors import QueryError, QueryTimeout
 from rdfloom.functions.terms import TERM, Typ, to_term
+from rdfloom.governor import reservation
 from rdfloom.operators.compiler import Compiler
 from rdfloom.operators.paths import Paths
 from rdfloom.operators.solution import column
@@ -34,6 +36,12 @@ class Result:
     types: dict[str, Typ]
     terms: DataFrame  # the same rows as terms
     hints: list[str] = field(default_factory=list)
+    kept: DataFrame | None = None  # what run() has computed
+
+    def close(self) -> None:
+        """Let go of the computed rows."""
+        if self.kept is not None:
+            self.kept.unpersist()
 
     @property
     def boolean(self) -> bool:
@@ -89,21 +97,26 @@ class Dataset:
     def compiler(self) -> Compiler:
         return Compiler(self.spark, self.source, self.settings.max_cross_bytes, self._paths)
 
-    def query(self, text: str) -> Result:
+    def query(self, text: str, keep: bool = False) -> Result:
+        """keep: mark the rows to be kept once they are computed."""
         q = parse(text)
         c = self.compiler()
         if q.form == "ASK":
             x = c.pattern(q.where, _scope(q))
             df = x.df.limit(1).agg((F.count(F.lit(1)) > 0).alias("boolean"))
-            return Result("ASK", df, ["boolean"], {}, df)
+            df = df.persist() if keep else df
+            return Result("ASK", df, ["boolean"], {}, df, kept=df if keep else None)
         if q.form in ("DESCRIBE", "CONSTRUCT"):
             df = c.described(q) if q.form == "DESCRIBE" else c.constructed(q)
-            return Result(q.form, df, ["s", "p", "o"], dict.fromkeys("spo", TERM), df)
+            df = df.persist() if keep else df
+            return Result(q.form, df, ["s", "p", "o"], dict.fromkeys("spo", TERM), df, kept=df if keep else None)
         x = c.select(q)
+        if keep:
+            x.df = x.df.persist()
         names = list(x.types)
         shown = [(to_term(t, column(n)) if t.kind in ("iri", "lang") else column(n)).alias(n) for n, t in x.types.items()]
         terms = [to_term(t, column(n)).alias(n) for n, t in x.types.items()]
-        return Result("SELECT", x.df.select(*shown), names, dict(x.types), x.df.select(*terms), hints(q))
+        return Result("SELECT", x.df.select(*shown), names, dict(x.types), x.df.select(*terms), hints(q), x.df if keep else None)
 
     def sql_type(self, text: str) -> dict[str, Typ]:
         """Types of a query's variables, without running it."""
@@ -114,23 +127,37 @@ class Dataset:
         return self.query(text).df._jdf.queryExecution().explainString(self.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
 
     def run(self, text: str, timeout: float | None = None) -> Result:
-        """query, with its rows computed under a time limit; its jobs are cancelled when that is over."""
-        import threading
+        """query, with its rows computed and kept (in memory, beyond that on disk) under the limits of time and rows; close() lets go of them.
 
+        When the time is over, the running jobs and all later ones of the query are cancelled.
+        """
         seconds = timeout if timeout is not None else self.settings.query_timeout
-        sc, group = self.spark.sparkContext, f"query-{uuid.uuid4().hex}"
+        sc, group, most = self.spark.sparkContext, f"query-{uuid.uuid4().hex}", self.settings.max_rows
+        over = threading.Event()
+
+        def stop() -> None:
+            over.set()
+            sc._jsc.sc().cancelJobGroupAndFutureJobs(group, "the query took too long")
+
         sc.setJobGroup(group, text[:200], interruptOnCancel=True)
-        timer = threading.Timer(seconds, lambda: sc.cancelJobGroup(group)) if seconds else None
+        timer = threading.Timer(seconds, stop) if seconds else None
         out = None
         try:
             if timer:
                 timer.start()
-            out = self.query(text)
-            if self.settings.max_rows:
-                over = out.terms.limit(self.settings.max_rows + 1).count()
-                if over > self.settings.max_rows:
-                    raise QueryError(f"the result has more than {self.settings.max_rows} rows; add a LIMIT")
+            out = self.query(text, keep=True)
+            n = out.kept.limit(most + 1).count() if most else out.kept.count()
+            if over.is_set():
+                raise QueryTimeout(f"the query took more than {seconds} seconds")
+            if most and n > most:
+                raise QueryError(f"the result has more than {most} rows; add a LIMIT")
             return out
+        except Exception as e:
+            if out is not None:
+                out.close()
+            if over.is_set() and not isinstance(e, QueryTimeout):
+                raise QueryTimeout(f"the query took more than {seconds} seconds") from e
+            raise
         finally:
             if timer:
                 timer.cancel()
@@ -140,6 +167,11 @@ class Dataset:
         """Bytes that Catalyst expects of a query's result."""
         return int(str(self.query(text).df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
+    def reservation(self, text: str) -> int:
+        """MB that a query asks for."""
+        width = max(1, len(parse(text).items))
+        return reservation(self.estimate(text) // (8 * width), width, self.settings)
+
     # -- statistics and materialisation
 
     def graphs(self) -> list[str]:

@@ -8,3 +8,11 @@ class ParseError(QueryError):
 
 class UnsupportedError(QueryError):
     pass
+
+
+class QueryTimeout(QueryError):
+    pass
+
+
+class Busy(Exception):
+    """No room for a query within the time that it may wait."""

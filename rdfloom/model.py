@@ -35,7 +35,7 @@ def _walk(node, known: dict[str, str], chain: tuple[str, ...], out: list[list[st
     for name, value in _items(node):
         iri = expand(name, known)
         if iri is None:
-            if str(name).strip() in ("[]", "a") and str(name).strip() == "[]":
+            if str(name).strip() == "[]":
                 _walk(value, known, chain, out)
             continue
         own = (*chain, iri)
@@ -52,11 +52,36 @@ def paths(model, prefix: dict) -> list[list[str]]:
     return sorted(out, key=len)
 
 
-def read(folder: str) -> list[list[str]]:
+def load(text: str):
+    """YAML whose keys may be lists: a blank node's [] is the key "[]"."""
     import yaml
 
-    at = Path(folder)
-    return paths(yaml.safe_load((at / "model.yaml").read_text()), yaml.safe_load((at / "prefix.yaml").read_text()))
+    class Loader(yaml.SafeLoader):
+        pass
+
+    def mapping(loader: yaml.SafeLoader, node: yaml.MappingNode) -> dict:
+        loader.flatten_mapping(node)
+        keys = [loader.construct_object(k, deep=True) for k, _ in node.value]
+        return {str(k) if isinstance(k, list | dict) else k: loader.construct_object(v, deep=True) for k, (_, v) in zip(keys, node.value)}
+
+    Loader.add_constructor("tag:yaml.org,2002:map", mapping)
+    return yaml.load(text, Loader)  # noqa: S506  a safe loader
+
+
+def _text(at: str) -> str:
+    """A file's text; at: a path or an http(s) address."""
+    if at.startswith(("http://", "https://")):
+        from urllib.request import urlopen
+
+        with urlopen(at, timeout=30) as got:
+            return got.read().decode("utf-8")
+    return Path(at).read_text()
+
+
+def read(folder: str) -> list[list[str]]:
+    """Paths of model.yaml and prefix.yaml in a folder, or below an http(s) address."""
+    at = folder.rstrip("/")
+    return paths(load(_text(f"{at}/model.yaml")), load(_text(f"{at}/prefix.yaml")))
 
 
 def sub_paths(chain: list[str]) -> list[list[str]]:

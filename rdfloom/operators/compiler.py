@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rdfloom.errors import QueryError, UnsupportedError
 from rdfloom.functions.expressions import Expressions, Val, unified
-from rdfloom.functions.terms import DOUBLE, INTEGER, STRING, TERM, constant, lit_type, matches, to_term
+from rdfloom.functions.terms import DOUBLE, INTEGER, STRING, TERM, constant, convert, lit_type, matches, to_term
 from rdfloom.operators.paths import O, Paths, S
 from rdfloom.operators.solution import Solution, column, empty, guard, join, left_join, name_of, null_of, semi_join, union, unit
 from rdfloom.plans.algebra import UNIT, Agg, Bgp, Call, Exists, Extend, Filter, Graph, Iri, Join, LeftJoin, Minus, Query, SubSelect, Triple, Union, Values, Var, aggregates, children, expr_vars, replace, variables
@@ -20,6 +20,10 @@ def conjuncts(e) -> list:
     return [x for a in e.args for x in conjuncts(a)] if isinstance(e, Call) and e.name == "&&" else [e]
 
 
+def _exists(e) -> bool:
+    return isinstance(e, Exists) or any(_exists(c) for c in children(e))
+
+
 def conjunction(parts: list):
     out = None
     for p in parts:
@@ -81,21 +85,26 @@ class Compiler:
         return join(a, b)
 
     def bgp(self, triples: tuple[Triple, ...], scope: Scope) -> Solution:
-        """Stars joined in the order of least expected rows; then paths."""
+        """Stars joined in the order of least expected rows; a path where no star that is left is connected, or at the end."""
         plain = tuple(t for t in triples if isinstance(t.p, Iri | Var))
+        stars = self.ordered(self.source.groups(plain), scope)
+        paths = [t for t in triples if not isinstance(t.p, Iri | Var)]
+        ends = lambda t: {x.name for x in (t.s, t.o) if isinstance(x, Var)}
         out = None
         bound: set[str] = set()
-        for g in self.ordered(self.source.groups(plain), scope):
-            x = self.source.star(g, scope)
-            out = x if out is None else self.product(out, x)
-            bound |= self.names(g)
-        rest = [t for t in triples if not isinstance(t.p, Iri | Var)]
-        while rest:  # connected ones first
-            t = next((t for t in rest if {x.name for x in (t.s, t.o) if isinstance(x, Var)} & bound), rest[0])
-            rest.remove(t)
-            x = self.path(t, scope)
+        while stars or paths:
+            g = next((g for g in stars if out is None or self.names(g) & bound), None)
+            t = next((t for t in paths if ends(t) & bound), None) if g is None else None
+            if g is None and t is None:  # unrelated to what there is
+                g, t = (stars[0], None) if stars else (None, paths[0])
+            if g is not None:
+                stars.remove(g)
+                x = self.source.star(g, scope)
+            else:
+                paths.remove(t)
+                x = self.path(t, scope, out)
             out = x if out is None else self.product(out, x)
-            bound |= set(x.types)
+            bound |= self.names(g) if g is not None else set(x.types)
         return out if out is not None else unit(self.spark)
 
     @staticmethod
@@ -131,7 +140,8 @@ class Compiler:
                 best = total, order
         return [groups[i] for i in best[1]]
 
-    def path(self, t: Triple, scope: Scope) -> Solution:
+    def path(self, t: Triple, scope: Scope, given: Solution | None = None) -> Solution:
+        """Pairs of a path; given: what has been matched already, whose values of an end restrict the path's first hops."""
         start, end = (None if isinstance(x, Var) else x for x in (t.s, t.o))
         if scope.var is not None:  # a path stays inside one graph
             each = []
@@ -144,7 +154,8 @@ class Compiler:
         if ready is not None:
             pairs = _bound(ready, start, end)
         else:
-            pairs = Paths(lambda tr: self.source.star([tr], scope)).pairs(t.p, start, end)
+            ends = [given.only([x.name]) if isinstance(x, Var) and given is not None and x.name in given.certain else None for x in (t.s, t.o)]
+            pairs = Paths(lambda tr: self.source.star([tr], scope)).pairs(t.p, start, end, *ends)
         df, types = pairs.df, {}
         if isinstance(t.s, Var) and t.s == t.o:
             df = df.where(to_term(pairs.types[S], column(S)) == to_term(pairs.types[O], column(O)))
@@ -178,12 +189,32 @@ class Compiler:
         condition = p.condition
         if condition is not None:
             # what concerns the right side alone can be filtered there
-            own = [c for c in conjuncts(condition) if expr_vars(c) <= set(right.types) - set(left.types) or isinstance(c, Exists)]
+            parts, known = conjuncts(condition), set(right.types)
+            # an EXISTS may share with the left what the right side has too, and binds the rest itself
+            own = [c for c in parts if (expr_vars(c) & set(left.types) <= known if _exists(c) else expr_vars(c) <= known - set(left.types))]
             if own:
                 right = self.filter(right, conjunction(own), scope)
-                condition = conjunction([c for c in conjuncts(condition) if c not in own])
+            rest = [c for c in parts if c not in own]
+            if any(_exists(c) for c in rest):
+                return self.optional_if(left, right, conjunction(rest), scope)
+            condition = conjunction(rest)
         return left_join(left, right, condition)
 
+    def optional_if(self, left: Solution, right: Solution, condition, scope: Scope) -> Solution:
+        """OPTIONAL whose condition holds an EXISTS that names the left side: it is decided on the joined rows of different left ones, which then meet their left rows."""
+        mark = {n: f"_left_{n}" for n in left.types}
+        once = Solution(left.df.distinct().select("*", *(column(n).alias(name_of(m)) for n, m in mark.items())), {**left.types, **{m: left.types[n] for n, m in mark.items()}}, left.certain | {mark[n] for n in left.certain})
+        found = self.filter(join(once, right), condition, scope)
+        names = [n for n in found.types if n not in mark.values()]
+        cols = [column(n).alias(name_of(n, "r")) for n in names] + [column(m).alias(name_of(m)) for m in mark.values()]
+        same = [column(n).eqNullSafe(column(m)) for n, m in mark.items()] or [F.lit(True)]
+        on = same[0]
+        for c in same[1:]:
+            on = on & c
+        df = left.df.join(found.df.select(*cols), on, "left")
+        out = [(F.coalesce(column(n, "r"), convert(left.types[n], column(n), found.types[n])) if n in left.types else column(n, "r")).alias(name_of(n)) for n in names]
+        return Solution(df.select(*out), {n: found.types[n] for n in names}, set(left.certain))
+
     def filter(self, x: Solution, condition, scope: Scope) -> Solution:
         rest = []
         for c in conjuncts(condition):
@@ -224,15 +255,14 @@ class Compiler:
     @staticmethod
     def correlated(p, x: Solution) -> tuple:
         """(pattern, condition): filters at the top of an EXISTS group that name variables of the outer row only go to the join."""
-        outer = []
-        while isinstance(p, Filter):
-            inner = variables(p.of)
-            outer += [c for c in conjuncts(p.condition) if not expr_vars(c) <= inner]
-            own = [c for c in conjuncts(p.condition) if expr_vars(c) <= inner]
-            if own:
-                return Filter(conjunction(own), p.of), conjunction(outer)
+        conditions = []
+        while isinstance(p, Filter):  # the whole chain, so that the order of filters doesn't matter
+            conditions += conjuncts(p.condition)
             p = p.of
-        return p, conjunction(outer)
+        inner = variables(p)
+        own = [c for c in conditions if expr_vars(c) <= inner]
+        outer = [c for c in conditions if not expr_vars(c) <= inner]
+        return Filter(conjunction(own), p) if own else p, conjunction(outer)
 
     def flagged(self, x: Solution, e: Exists, scope: Scope) -> tuple[Solution, Column]:
         """x with a column that says whether the pattern has a match for the row."""
@@ -253,6 +283,10 @@ class Compiler:
 
     def select(self, q: Query, scope: Scope | None = None) -> Solution:
         scope = scope or Scope(tuple(q.default_graphs) if q.default_graphs else (() if q.named_graphs else None), tuple(q.named_graphs) if q.named_graphs else (() if q.default_graphs else None))
+        if (counted := self.counted_product(q, scope)) is not None:
+            x = counted
+            df = x.df.offset(q.offset) if q.offset else x.df
+            return Solution(df.limit(q.limit) if q.limit is not None else df, x.types, x.certain)
         x = self.pattern(q.where, scope)
         items, having, order = list(q.items), list(q.having), list(q.order)
         if q.group is not None or any(aggregates(e) for _, e in items if e is not None) or any(aggregates(e) for e in having) or any(aggregates(e) for e, _ in order):
@@ -318,6 +352,36 @@ class Compiler:
         cols = [v.num, v.lex] if v.typ.kind == "term" else [v.lex if v.typ.kind in ("iri", "lang") else v.col]
         return [c.asc_nulls_first() if up else c.desc_nulls_last() for c in cols]
 
+    def factors(self, p, scope: Scope) -> list[Solution]:
+        """Patterns that share no variable, each on its own."""
+        if isinstance(p, Join) and not variables(p.left) & variables(p.right):
+            return self.factors(p.left, scope) + self.factors(p.right, scope)
+        if isinstance(p, Bgp):
+            parts: list[tuple[set[str], list[Triple]]] = []
+            for t in p.triples:
+                names, own = variables(Bgp((t,))), [t]
+                for other in [x for x in parts if x[0] & names]:
+                    parts.remove(other)
+                    names, own = names | other[0], other[1] + own
+                parts.append((names, own))
+            return [self.pattern(Bgp(tuple(t for t in p.triples if t in own)), scope) for _, own in parts]
+        return [self.pattern(p, scope)]
+
+    def counted_product(self, q: Query, scope: Scope) -> Solution | None:
+        """COUNT(*) over unrelated patterns as the product of their counts; None where that doesn't apply."""
+        found = {a for _, e in q.items if e is not None for a in aggregates(e)}
+        if q.group or q.having or q.order or len(found) != 1 or (a := next(iter(found))).arg is not None or a.distinct or any(e != a for _, e in q.items):
+            return None
+        if not isinstance(q.where, Join | Bgp) or scope.var is not None or len(parts := self.factors(q.where, scope)) < 2:
+            return None
+        each = [x.df.agg(F.count(F.lit(1)).alias("n")) for x in parts]
+        rows = each[0]
+        for x in each[1:]:
+            rows = rows.union(x)
+        product = F.aggregate(F.collect_list("n"), F.lit(1).cast("long"), lambda s, x: s * x)
+        df = rows.agg(product.alias("n")).select(*(F.col("n").alias(name_of(n)) for n, _ in q.items))
+        return Solution(df, {n: lit_type(INTEGER) for n, _ in q.items}, {n for n, _ in q.items})
+
     def grouped(self, x: Solution, q: Query, scope: Scope) -> tuple[Solution, dict]:
         """Groups with hidden columns for keys and aggregates; and what stands for each expression in the rest of the query."""
         swap: dict = {}

@@ -85,6 +85,36 @@ def _sides(left: Solution, right: Solution) -> tuple[DataFrame, DataFrame, dict[
     return l, r, types, shared, on
 
 
+#: Combinations of bound and unbound shared variables that a join is split into; beyond that, unbound is tested row by row.
+MOST_PARTS = 4
+
+
+def _parts(left: Solution, right: Solution, l: DataFrame, r: DataFrame, shared: list[str], rights: bool = True) -> list[tuple[DataFrame, DataFrame, list[Column]]] | None:
+    """Both sides split by which shared variables are bound, with plain equalities for each pair of parts; None if there are too many, or if nothing is uncertain.
+
+    rights: whether the right side may be split too (its parts then meet every row of the left again).
+    """
+
+    def split(df: DataFrame, uncertain: list[str], side: str) -> list[tuple[DataFrame, set[str]]]:
+        out: list[tuple[DataFrame, set[str]]] = [(df, set())]
+        for n in uncertain:
+            c = column(n, side)
+            out = [y for d, unbound in out for y in ((d.where(c.isNotNull()), unbound), (d.where(c.isNull()), unbound | {n}))]
+        return out
+
+    loose = [[n for n in shared if n not in x.certain] for x in (left, right)]
+    if not (loose[0] or loose[1]) or 2 ** (len(loose[0]) + len(loose[1])) > MOST_PARTS or loose[1] and not rights:
+        return None
+    return [(a, b, [column(n) == column(n, "r") for n in shared if n not in x | y]) for a, x in split(l, loose[0], "v") for b, y in split(r, loose[1], "r")]
+
+
+def _together(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
 def _all(conditions: list[Column]) -> Column:
     out = conditions[0]
     for c in conditions[1:]:
@@ -102,13 +132,17 @@ def join(left: Solution, right: Solution) -> Solution:
     if not left.types and not right.types:
         return Solution(left.df.crossJoin(right.df.select(F.lit(1).alias("_two"))).select("_one"), {}, set())
     l, r, types, shared, on = _sides(left, right)
-    both = l.join(r, _all(on)) if on else l.crossJoin(r)
+    if parts := _parts(left, right, l, r, shared):
+        both = _together([a.join(b, _all(c)) if c else a.crossJoin(b) for a, b, c in parts])
+    else:
+        both = l.join(r, _all(on)) if on else l.crossJoin(r)
     return Solution(_merged(both, types, shared, left), types, left.certain | right.certain)
 
 
 def left_join(left: Solution, right: Solution, condition=None) -> Solution:
     """OPTIONAL; condition: an expression over the variables of both sides."""
     l, r, types, shared, on = _sides(left, right)
+    extra: list[Column] = []
     if condition is not None:
 
         def val(n: str) -> Val | None:
@@ -116,14 +150,19 @@ def left_join(left: Solution, right: Solution, condition=None) -> Solution:
                 return None
             return Val(types[n], F.coalesce(column(n), column(n, "r")) if n in shared and n not in left.certain else column(n))
 
-        on = [*on, Expressions(val).truth(condition)]
-    both = l.join(r, _all(on), "left") if on else l.join(r, F.lit(True), "left")
+        extra = [Expressions(val).truth(condition)]
+    on = [*on, *extra]
+    if parts := _parts(left, right, l, r, shared, rights=False):
+        both = _together([a.join(b, _all([*c, *extra]) if c or extra else F.lit(True), "left") for a, b, c in parts])
+    else:
+        both = l.join(r, _all(on), "left") if on else l.join(r, F.lit(True), "left")
     return Solution(_merged(both, types, shared, left), types, set(left.certain))
 
 
 def semi_join(left: Solution, right: Solution, anti: bool = False, condition=None, minus: bool = False) -> Solution:
     """EXISTS, NOT EXISTS, and MINUS (whose sides need a variable bound on both)."""
     l, r, types, shared, on = _sides(left, right)
+    extra: list[Column] = []
     if minus:
         if not shared:
             return left
@@ -132,10 +171,14 @@ def semi_join(left: Solution, right: Solution, anti: bool = False, condition=Non
             some = bound[0]
             for b in bound[1:]:
                 some = some | b
-            on.append(some)
+            extra.append(some)
     if condition is not None:
-        on = [*on, Expressions(lambda n: Val(types[n], column(n)) if n in types else None).truth(condition)]
-    out = l.join(r, _all(on) if on else F.lit(True), "left_anti" if anti else "left_semi")
+        extra.append(Expressions(lambda n: Val(types[n], column(n)) if n in types else None).truth(condition))
+    kind, on = "left_anti" if anti else "left_semi", [*on, *extra]
+    if parts := _parts(left, right, l, r, shared, rights=False):
+        out = _together([a.join(b, _all([*c, *extra]) if c or extra else F.lit(True), kind) for a, b, c in parts])
+    else:
+        out = l.join(r, _all(on) if on else F.lit(True), kind)
     return Solution(out, {n: types[n] for n in left.types}, set(left.certain))
 
 

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import json
-import threading
 import time
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import parse_qs, urlsplit
 
-from rdfloom.engine import Dataset
-from rdfloom.errors import QueryError, UnsupportedError
+from rdfloom.engine import Dataset, Result
+from rdfloom.errors import Busy, QueryError, QueryTimeout, UnsupportedError
+from rdfloom.governor import Governor
 from rdfloom.results import FORMATS, serialise
 
+#: Bytes of a response that are held before they are sent.
+CHUNK = 1 << 16
 PAGE = "<!DOCTYPE html><title>SPARQL</title><form action=/sparql><textarea name=query rows=12 cols=90>SELECT * WHERE { ?s ?p ?o } LIMIT 10</textarea><br><select name=format><option>tsv<option>csv<option>json<option>xml</select> <button>Run</button></form>"
 
 
@@ -26,10 +28,12 @@ def wanted(accept: str, given: str | None) -> str:
 
 
 def make(data: Dataset, host: str | None = None, port: int | None = None) -> ThreadingHTTPServer:
-    """A server that runs at most max_concurrent queries at a time; others wait."""
-    slots = threading.BoundedSemaphore(max(1, data.settings.max_concurrent))
+    """A server that runs queries as the governor has room for them; others wait, and are refused after a while."""
+    governor = Governor(data.settings)
 
     class Handler(BaseHTTPRequestHandler):
+        protocol_version = "HTTP/1.1"
+
         def log_message(self, *args) -> None:
             pass
 
@@ -74,19 +78,52 @@ def make(data: Dataset, host: str | None = None, port: int | None = None) -> Thr
                 self.reply(400, f"unknown format {form}\n")
                 return
             began = time.perf_counter()
-            with slots:
-                try:
+            try:
+                with governor.room(data.reservation(args["query"])):
+                    waited = time.perf_counter()
                     result = data.run(args["query"])
-                    text = "".join(serialise(result, form))
-                except UnsupportedError as e:
-                    self.reply(400, f"unsupported: {e}\n")
-                except QueryError as e:
-                    self.reply(400, f"{e}\n")
-                except Exception as e:
-                    cancelled = "cancel" in str(e).lower()
-                    self.reply(408 if cancelled else 500, ("the query took too long\n" if cancelled else f"{type(e).__name__}: {str(e)[:500]}\n"))
-                else:
-                    kind = FORMATS["nt"] if result.form in ("DESCRIBE", "CONSTRUCT") and form in ("nt", "xml") else FORMATS[form]
-                    self.reply(200, text, kind, X_Query_Micros=str(round(1e6 * (time.perf_counter() - began))), **({"X_Query_Hints": "; ".join(result.hints)} if result.hints else {}))
+                    try:
+                        self.stream(result, form, began, waited)
+                    finally:
+                        result.close()
+            except Busy:
+                self.reply(503, "too many queries; try again later\n", Retry_After="10")
+            except QueryTimeout as e:
+                self.reply(408, f"{e}\n")
+            except UnsupportedError as e:
+                self.reply(400, f"unsupported: {e}\n")
+            except QueryError as e:
+                self.reply(400, f"{e}\n")
+            except (BrokenPipeError, ConnectionError):
+                self.close_connection = True
+            except Exception as e:
+                self.reply(500, f"{type(e).__name__}: {str(e)[:500]}\n")
+
+        def stream(self, result: Result, form: str, began: float, waited: float) -> None:
+            """The rows have been computed; they are sent in chunks as they come from the executors."""
+            kind = FORMATS["nt"] if result.form in ("DESCRIBE", "CONSTRUCT") and form in ("nt", "xml") else FORMATS[form]
+            now = time.perf_counter()
+            head = {"Content-Type": kind, "Transfer-Encoding": "chunked", "Access-Control-Allow-Origin": "*", "X-Query-Micros": str(round(1e6 * (now - began))), "X-Wait-Micros": str(round(1e6 * (waited - began))), "X-Execute-Micros": str(round(1e6 * (now - waited)))}
+            parts, held, size = serialise(result, form), [], 0
+            self.send_response(200)
+            for k, v in (head | ({"X-Query-Hints": "; ".join(result.hints)} if result.hints else {})).items():
+                self.send_header(k, v)
+            self.end_headers()
+            try:
+                for part in parts:
+                    held.append(part.encode())
+                    size += len(held[-1])
+                    if size >= CHUNK:
+                        self.chunk(held)
+                        held, size = [], 0
+                if held:
+                    self.chunk(held)
+                self.wfile.write(b"0\r\n\r\n")
+            except Exception:  # the status is out: a body without its end tells the client
+                self.close_connection = True
+
+        def chunk(self, held: list[bytes]) -> None:
+            body = b"".join(held)
+            self.wfile.write(b"%x\r\n%s\r\n" % (len(body), body))
 
     return ThreadingHTTPServer((host or data.settings.host, data.settings.port if port is None else port), Handler)

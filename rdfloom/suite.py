@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rdfloom import suite_store
 from rdfloom.engine import Dataset
 from rdfloom.mapping import BASE, GRAPH, tables
 from rdfloom.sources import ntriples
@@ -196,6 +197,41 @@ _add("from_graph", "SELECT ?p (COUNT(*) AS ?n) FROM g:nation WHERE { ?x ?p ?o }
 _add("list_graphs", "SELECT ?g WHERE { GRAPH ?g { } }",
      "SELECT 'http://example.org/graph/' || x AS g FROM (VALUES ('region'), ('nation'), ('customer'), ('supplier'), ('part'), ('orders'), ('lineitem'), ('events'), ('documents'), ('labels'), ('conversations'), ('pages'), ('benchmark'), ('embeddings')) v(x)")
 
+# -- what earlier rows don't reach
+
+_BIG = "SELECT c_name AS n FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > c_acctbal * 30 AND o_totalprice > 200000)"
+_add("exists_two_filters", "SELECT ?n WHERE { ?c t:c_name ?n ; t:c_acctbal ?b FILTER EXISTS { ?o t:o_customer ?c ; t:o_totalprice ?p FILTER(?p > ?b * 30) FILTER(?p > 200000) } }", _BIG)
+_add("exists_two_filters_swapped", "SELECT ?n WHERE { ?c t:c_name ?n ; t:c_acctbal ?b FILTER EXISTS { ?o t:o_customer ?c ; t:o_totalprice ?p FILTER(?p > 200000) FILTER(?p > ?b * 30) } }", _BIG)
+_add("not_exists_two_filters", "SELECT ?n WHERE { ?c t:c_name ?n ; t:c_acctbal ?b FILTER NOT EXISTS { ?o t:o_customer ?c ; t:o_totalprice ?p FILTER(?p > ?b * 30) FILTER(?p > 200000) } }", _BIG.replace("WHERE EXISTS", "WHERE NOT EXISTS"))
+for _not in ("", "NOT "):
+    _add(f"optional_{_not.lower().strip()}{'_' if _not else ''}exists_outer", f"SELECT ?n ?sn WHERE {{ ?c t:c_nation ?na ; t:c_name ?n OPTIONAL {{ ?s t:s_nation ?na ; t:s_name ?sn FILTER {_not}EXISTS {{ ?c t:c_mktsegment 'BUILDING' }} }} }}",
+         f"SELECT c_name AS n, s_name AS sn FROM customer LEFT JOIN supplier ON c_nationkey = s_nationkey AND c_mktsegment {'<>' if _not else '='} 'BUILDING'")
+    _add(f"optional_{_not.lower().strip()}{'_' if _not else ''}exists_shared", f"SELECT ?n ?p WHERE {{ ?c t:c_name ?n OPTIONAL {{ ?o t:o_customer ?c ; t:o_totalprice ?p FILTER {_not}EXISTS {{ ?c t:c_acctbal ?b FILTER(?p > ?b * 30) }} }} }}",
+         f"SELECT c_name AS n, o_totalprice AS p FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND {_not}(o_totalprice > c_acctbal * 30)")
+_add("optional_unbound_key", "SELECT ?d ?q ?k WHERE { { SELECT ?d ?q WHERE { ?d a t:Document OPTIONAL { ?d t:quality ?q } } } OPTIONAL { VALUES (?q ?k) { (1 'good') (0 'bad') } } }",
+     f"SELECT '{BASE}doc/' || d.doc_id AS d, coalesce(l.quality, v.q)::BIGINT AS q, v.k AS k FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id LEFT JOIN (VALUES (1, 'good'), (0, 'bad')) v(q, k) ON l.quality IS NULL OR l.quality = v.q")
+_add("minus_unbound", "SELECT ?d WHERE { ?d a t:Document OPTIONAL { ?d t:quality ?q } MINUS { ?d t:toxic ?x . ?d t:quality ?q FILTER(?x = 1) } }",
+     f"SELECT '{BASE}doc/' || doc_id AS d FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+_add("count_cross_three", "SELECT (COUNT(*) AS ?n) WHERE { ?a t:r_name ?x . ?b a t:Supplier . ?c a t:Nation }", "SELECT (SELECT count(*) FROM region) * (SELECT count(*) FROM supplier) * (SELECT count(*) FROM nation) AS n")
+_add("reduced", "SELECT REDUCED ?st WHERE { ?o t:o_orderstatus ?st }", "SELECT DISTINCT o_orderstatus AS st FROM orders")
+_add("from_named", "SELECT ?g (COUNT(*) AS ?n) FROM NAMED g:region FROM NAMED g:nation WHERE { GRAPH ?g { ?x a ?c } } GROUP BY ?g",
+     f"SELECT '{GRAPH}region' AS g, count(*) AS n FROM region UNION ALL SELECT '{GRAPH}nation', count(*) FROM nation")
+_add("iri_function", "SELECT (IRI(CONCAT('http://x/', ?n)) AS ?i) (URI('http://y/') AS ?u) WHERE { ?r t:r_name ?n }", "SELECT 'http://x/' || r_name AS i, 'http://y/' AS u FROM region")
+_add("unary_plus_and_now", "SELECT (+?b AS ?p) (YEAR(NOW()) > 2000 AS ?later) WHERE { ?s t:s_acctbal ?b }", "SELECT s_acctbal AS p, true AS later FROM supplier")
+_add("limit_without_order", "SELECT (COUNT(*) AS ?n) WHERE { { SELECT ?c WHERE { ?c a t:Customer } LIMIT 17 } }", "SELECT least(17, count(*)) AS n FROM customer")
+_add("typed_literals", "SELECT (STR(STRDT(STR(?k), <http://www.w3.org/2001/XMLSchema#integer>)) AS ?a) (LANG(STRLANG(?n, 'en')) AS ?b) (STRLEN(STRUUID()) AS ?c) (RAND() < 1 AS ?d) (SHA1(?n) AS ?e) WHERE { ?p t:p_size ?k ; t:p_name ?n }",
+     "SELECT p_size::VARCHAR AS a, 'en' AS b, 36::BIGINT AS c, true AS d, sha1(p_name) AS e FROM part")
+_add("path_bound_start", "SELECT ?rn (COUNT(*) AS ?n) WHERE { ?c t:c_mktsegment 'BUILDING' ; t:c_nation/t:n_region ?r . ?r t:r_name ?rn } GROUP BY ?rn",
+     "SELECT r_name AS rn, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_mktsegment = 'BUILDING' GROUP BY 1")
+_add("path_bound_end", "SELECT ?n WHERE { ?r t:r_name 'ASIA' . ?c t:c_nation/t:n_region ?r . ?c t:c_name ?n }",
+     "SELECT c_name AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'")
+_add("path_plus_selective", "SELECT ?a ?b WHERE { ?a t:conversation <http://example.org/tpch/conversation/3> . ?a t:nextTurn+ ?b }",
+     _STEPS + f"SELECT c.a, c.b FROM c JOIN conversations ON a = '{BASE}turn/' || conv_id || '-' || turn WHERE conv_id = 3")
+_add("path_star_selective_end", "SELECT ?a ?b WHERE { ?b t:conversation <http://example.org/tpch/conversation/3> . ?a t:nextTurn* ?b }",
+     _STEPS + f", f AS (SELECT a, b FROM c UNION SELECT a, a FROM e UNION SELECT b, b FROM e) SELECT f.a, f.b FROM f JOIN conversations ON b = '{BASE}turn/' || conv_id || '-' || turn WHERE conv_id = 3")
+_add("path_seq_then_plus", "SELECT ?a ?b WHERE { ?a t:conversation <http://example.org/tpch/conversation/3> ; t:turn 0 ; t:nextTurn/t:nextTurn+ ?b }",
+     _STEPS + f"SELECT e.a, c.b FROM e JOIN c ON e.b = c.a JOIN conversations ON e.a = '{BASE}turn/' || conv_id || '-' || turn WHERE conv_id = 3 AND turn = 0")
+
 
 def nt_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as N-Triples text, parsed back and queried as triples."""
@@ -205,9 +241,10 @@ def nt_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Dataset.from_quads(spark, back).query(PROLOGUE + "SELECT (STR(?sn) AS ?supplier) (STR(?nn) AS ?nation) (xsd:double(?b) AS ?bal) WHERE { ?s t:s_name ?sn ; t:s_acctbal ?b ; t:s_nation ?n . ?n t:n_name ?nn }").df
 
 
+ORACLES |= suite_store.ORACLES
 ORACLES["nt_roundtrip"] = "SELECT s_name AS supplier, n_name AS nation, s_acctbal AS bal FROM supplier JOIN nation ON s_nationkey = n_nationkey"
 
 
 def queries() -> dict:
     out = {name: (lambda spark, sf_dir, name=name: run(spark, sf_dir, name)) for name in QUERIES}
-    return out | {"nt_roundtrip": nt_roundtrip}
+    return out | {"nt_roundtrip": nt_roundtrip} | suite_store.queries()

@@ -1,6 +1,7 @@
 import gzip
 import json
 import threading
+import time
 import urllib.error
 import urllib.parse
 import urllib.request
@@ -9,6 +10,7 @@ import pytest
 
 from rdfloom import Dataset, mapping, model, results, server
 from rdfloom.config import Settings
+from rdfloom.errors import QueryTimeout
 from rdfloom.sources import ntriples
 from rdfloom.streaming import feed
 
@@ -102,6 +104,56 @@ def test_server(spark):
         at.shutdown()
 
 
+def slow(spark, rows=3_000_000):
+    """A graph whose self-join takes a while."""
+    df = spark.range(rows).selectExpr("concat('http://x/', id) s", "'http://x/p' p", "concat('http://x/', id % 1000) o", "cast(null as string) g")
+    return Dataset.from_quads(spark, df, Settings(query_timeout=1.0, max_concurrent=1, queue_timeout=0.2))
+
+
+SLOW = "SELECT (COUNT(DISTINCT ?c) AS ?n) { ?a <http://x/p> ?b . ?c <http://x/p> ?b . ?d <http://x/p> ?a FILTER(REGEX(?a, '7.*3') || STRLEN(STR(?c)) > 3) }"
+
+
+def test_timeout_covers_the_rows(spark):
+    data = slow(spark)
+    began = time.perf_counter()
+    with pytest.raises(QueryTimeout):
+        data.run(SLOW)
+    assert time.perf_counter() - began < 10
+    assert data.run("SELECT ?s { ?s <http://x/p> <http://x/none> }", timeout=60).df.count() == 0
+
+
+def test_server_refuses_late_and_waiting_queries(spark):
+    with server.make(slow(spark), port=0) as at:
+        threading.Thread(target=at.serve_forever, daemon=True).start()
+        url = f"http://127.0.0.1:{at.server_address[1]}/sparql?query={urllib.parse.quote(SLOW)}"
+        codes = []
+
+        def get():
+            try:
+                urllib.request.urlopen(url, timeout=60)
+            except urllib.error.HTTPError as e:
+                codes.append(e.code)
+
+        each = [threading.Thread(target=get) for _ in range(2)]
+        for t in each:
+            t.start()
+        for t in each:
+            t.join()
+        assert sorted(codes) == [408, 503]
+        at.shutdown()
+
+
+def test_server_streams(spark):
+    data = Dataset.from_tables(spark, mapping.tables(), "/root/testdata/sf0.001")
+    with server.make(data, port=0) as at:
+        threading.Thread(target=at.serve_forever, daemon=True).start()
+        q = "PREFIX t: <http://example.org/tpch/> SELECT ?l ?q { ?l t:l_quantity ?q }"
+        with urllib.request.urlopen(f"http://127.0.0.1:{at.server_address[1]}/sparql?format=tsv&query={urllib.parse.quote(q)}") as r:
+            assert r.headers["Transfer-Encoding"] == "chunked" and r.headers["X-Wait-Micros"] and r.headers["X-Execute-Micros"]
+            assert len(r.read().splitlines()) == 1 + spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+        at.shutdown()
+
+
 def test_settings(tmp_path):
     (tmp_path / "c.toml").write_text("[server]\nport = 99\n[query]\nmax_rows = 5\n")
     assert Settings.read(str(tmp_path / "c.toml")).port == 99
@@ -119,6 +171,23 @@ def test_model_paths():
     assert len(model.sub_paths(list("ABCD"))) == 6 and [len(x) for x in model.sub_paths(list("ABCD"))] == [2, 2, 2, 3, 3, 4]
 
 
+def test_model_from_text(tmp_path):
+    """Blank nodes are keys that are lists."""
+    (tmp_path / "prefix.yaml").write_text("f: <http://f/>\n")
+    (tmp_path / "model.yaml").write_text("- Protein <http://x>:\n  - a: f:Protein\n  - f:range:\n    - []:\n      - f:begin+:\n        - []:\n          - f:position?: 1\n  - f:name: n\n")
+    assert model.read(str(tmp_path)) == [["http://f/range", "http://f/begin"], ["http://f/range", "http://f/begin", "http://f/position"]]
+
+
+@pytest.mark.parametrize("name", ["count_cross", "count_cross_three", "optional_then_join_unbound", "optional_unbound_key", "minus_unbound", "path_bound_start"])
+def test_plans_without_nested_loops(spark, name):
+    from rdfloom import suite
+
+    plan = suite.dataset(spark, "/root/testdata/sf0.001").explain(suite.QUERIES[name])
+    parts = plan.split("(1) ")[0]
+    assert name.startswith(("optional", "minus")) or "NestedLoop" not in parts
+    assert "OR isnull" not in plan and (name != "path_bound_start" or "LeftSemi" in plan)
+
+
 def test_feed(spark, tmp_path):
     data = Dataset.from_tables(spark, mapping.tables(), "/root/testdata/sf0.001")
     events = next(t for t in data.source.tables if t.name == "events")
