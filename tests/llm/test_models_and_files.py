@@ -36,6 +36,18 @@ def test_encoding_of_words_and_runs(codec, library):
     assert len(codec.encode(None)) == 0
 
 
+def test_unknown_characters_leave_the_automaton_to_the_rest(codec, library, monkeypatch):
+    """Chunks with characters that are no piece are cut there; merging by definition isn't used."""
+    assert codec.closed
+    codec._words.clear()
+    codec._words.old = {}
+    seen = []
+    monkeypatch.setattr(codec, "_ranked", lambda t, f=codec._ranked: seen.append(t) or f(t))
+    for t in ["caf\u4e16\u754ce world", "\u4e16", "the\U0001f600the \U0001f600\U0001f600", "a\u4e16" * 400]:
+        assert list(codec.encode(t)) == library.encode(t)
+    assert seen and all(codec.chars.issuperset(x) for x in seen)
+
+
 def test_unigram_path():
     """The same automaton with summed scores, against all segmentations."""
 
@@ -112,6 +124,50 @@ def test_url_rules(spark):
     assert {r.verdict for r in urls.judge(rows, ()).collect()} == {"allow"}
 
 
+def test_verdicts_of_urls_without_a_rule(spark):
+    """The query's scores and verdicts against models counted here, from the same sample."""
+    rng = random.Random(6)
+    hosts = ["a.com/en", "b.net/de", "c.org/es", "d.example.com/en/7", "e.info/x", "f.biz/win"]
+    own = sorted({f"http://{rng.choice(hosts)}/{rng.choice(['news', 'casino', 'post'])}{rng.randrange(400)}" for _ in range(600)})
+    rows = spark.createDataFrame([(i, u) for i, u in enumerate([*own, *own[:200]])], "page_id long, url string")
+    named = {u: brute_url(u)[2] for u in own}
+    from pyspark.sql import functions as F
+
+    order = {r.url: r.k for r in rows.select("url", F.xxhash64("url", F.lit("sample")).alias("k")).collect()}
+    sample = [sorted((u for u in own if named[u] and named[u].verdict == v), key=lambda u: (order[u], u)) for v in ("allow", "block")]
+
+    def model(texts):
+        count = {}
+        for t in texts:
+            t = "\x02" * urls.ORDER + t + "\x03"
+            for i in range(urls.ORDER, len(t)):
+                for k in range(urls.ORDER + 1):
+                    at = count.setdefault(t[i - k : i], {})
+                    at[t[i]] = at.get(t[i], 0) + 1
+
+        def p(context, char):
+            lower = p(context[1:], char) if context else 1 / 0x11000
+            seen = count.get(context)
+            return lower if seen is None else (seen.get(char, 0) + len(seen) * lower) / (sum(seen.values()) + len(seen))
+
+        import math
+
+        def loss(t):
+            t = "\x02" * urls.ORDER + t + "\x03"
+            return sum(math.log(p(t[i - urls.ORDER : i], t[i])) for i in range(urls.ORDER, len(t)))
+
+        return loss
+
+    good, bad = model([u for i, u in enumerate(sample[0]) if i % 5]), model(sample[1])
+    score = lambda u: (bad(u) - good(u)) / (len(u) + 1)
+    import numpy as np
+
+    threshold = max(0.0, float(np.quantile([score(u) for u in sample[0][::5]], 0.99)))
+    for r in urls.judge(rows, RULES).collect():
+        if not named[r.url]:
+            assert abs(r.score - score(r.url)) < 1e-9 and r.verdict == ("block" if r.score > threshold else "allow")
+
+
 def test_markov_ratio():
     good, bad = [f"blog.site{i}.org/post/{i}" for i in range(200)], [f"casino-win{i}.biz/bonus?ref={i}" for i in range(200)]
     m = urls.Ratio(good, bad)
@@ -174,6 +230,14 @@ def toxic():
     return texts, labels
 
 
+def test_training_rows_of_repeated_ids(spark):
+    """The same rows every time, however the tables are dealt."""
+    docs = spark.createDataFrame([(i % 40, f"text {i} of many") for i in range(400)], "doc_id long, text string")
+    named = spark.createDataFrame([(i, i % 2) for i in range(40)] * 2, "doc_id long, toxic int")
+    once, again = (toxicity.training_rows(docs.repartition(n), named.repartition(n), max_rows=10) for n in (1, 7))
+    assert once == again and len(once) == 20 and sum(r.y for r in once) == 10
+
+
 def test_toxicity_learns_and_locates(toxic):
     texts, labels = toxic
     m = toxicity.fit(texts[:450], labels[:450])
@@ -258,7 +322,8 @@ def test_extraction(spark):
     right = sum((a >= 0.5) == b for p, y in zip(m.predict(pages), labels) for a, b in zip(p, y)) / sum(map(len, labels))
     assert right > 0.97
     rows = spark.createDataFrame([(1, "u", PAGE), (2, "v", None), (3, "w", ""), (1, "u", PAGE), (4, "x", "<article>" + "<p>One paragraph of this very long article.</p>" * 3000 + "</article>")], "page_id long, text string, html string")
-    out = {r.page_id: r.text for r in html_extract.extract(rows, m).collect()}
+    out = {r.page_id: r._text for r in html_extract.extract(rows, m).collect()}
+    assert {r.text for r in html_extract.extract(rows, m).collect()} == {"u", "v", "w", "x"}
     assert html_extract.extract(rows, m).count() == 5 and out[2] == out[3] == ""
     lines = out[1].split("\n")
     assert "The third paragraph closes the story for the reader." in lines and "Second one <here> has more words, and it ends well." in [x.replace("\u00a0", " ") for x in lines]
