@@ -15,7 +15,8 @@ size and is broadcast; extraction is one pass over the pages.
 Defined cases: a null or empty html has no block and gives an empty text. Text
 outside of any tag is a block. Unclosed and truncated tags, comments, scripts and
 styles end with the page. Repeated rows give equal texts; an empty table gives an
-empty result. Other columns are kept unless their name is that of the text column.
+empty result. Other columns are kept; the text has a free name. White space is that
+of Unicode. Formulas, fallbacks of objects and the like are judged as other text.
 """
 
 from __future__ import annotations
@@ -27,24 +28,28 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from rdfloom.llm.common import free_name, small_batches
+
 #: Elements whose tags end a block, elements without an end tag, and elements whose content is never text.
-BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split())
+BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav noscript object ol optgroup option p pre section select summary svg table tbody td template tfoot th thead tr ul canvas".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea title svg math object canvas noembed noframes xmp".split())
+RAW = frozenset("script style iframe textarea title noembed noframes".split())
 #: A new one of these closes an open one of the same kind.
 SELF_CLOSING = frozenset("p li dt dd tr td th option".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|[^<]+|<", re.S)
 _NAMED = re.compile(r"(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PART = re.compile(r"[a-z]+|[0-9]+")
-_SPACE = re.compile(r"[ \t\n\r\f\v ]+")
+_SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"\w+")
 
 BITS, WIDTH, HIDDEN, PLAIN = 12, 24, 24, 8
+#: Blocks of a batch of pages that are labelled at once (a longer page is alone), and steps whose gates are held.
+CELLS, STEPS = 1 << 15, 1 << 10
 
 
 @lru_cache(maxsize=1 << 16)
@@ -63,7 +68,7 @@ def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], float]]:
     def close() -> None:
         nonlocal linked
         if held:
-            text = _SPACE.sub(" ", "".join(held)).strip(" ")
+            text = _SPACE.sub(" ", "".join(held)).strip()
             if text:
                 out.append((text, tuple(path), min(1.0, linked / len(text))))
             held.clear()
@@ -155,18 +160,20 @@ class Labeller:
         mean = [np.add.reduceat(self.w[name][page.index[k]], page.starts[k]) / page.counts[k][:, None] for k, name in enumerate(("tags", "words"))]
         return np.concatenate([*mean, page.plain], axis=1)
 
-    def _run(self, x: np.ndarray, d: str) -> tuple[np.ndarray, list]:
-        """x: time, batch, size; h: time, batch, HIDDEN."""
-        gates = x @ self.w[f"x{d}"] + self.w[f"c{d}"]
+    def _run(self, x: np.ndarray, d: str, learn: bool = True) -> tuple[np.ndarray, list]:
+        """x: time, batch, size; h: time, batch, HIDDEN. Without learn no trace is kept."""
         h = c = np.zeros((x.shape[1], HIDDEN))
         hs, trace = np.empty((len(x), x.shape[1], HIDDEN)), []
         for t in range(len(x)):
-            a = gates[t] + h @ self.w[f"h{d}"]
+            if t % STEPS == 0:
+                gates = x[t : t + STEPS] @ self.w[f"x{d}"] + self.w[f"c{d}"]
+            a = gates[t % STEPS] + h @ self.w[f"h{d}"]
             s = 1 / (1 + np.exp(-np.clip(a[:, : 3 * HIDDEN], -30, 30)))
             i, f, o, g = s[:, :HIDDEN], s[:, HIDDEN : 2 * HIDDEN], s[:, 2 * HIDDEN :], np.tanh(a[:, 3 * HIDDEN :])
             before, c = c, f * c + i * g
             th = np.tanh(c)
-            trace.append((h, before, i, f, o, g, th))
+            if learn:
+                trace.append((h, before, i, f, o, g, th))
             h = hs[t] = o * th
         return hs, trace
 
@@ -185,7 +192,7 @@ class Labeller:
         grad[f"c{d}"] += flat.sum(axis=0)
         return da @ self.w[f"x{d}"].T
 
-    def _forward(self, pages: list[Features]) -> tuple:
+    def _forward(self, pages: list[Features], learn: bool = True) -> tuple:
         n = np.array([len(p) for p in pages])
         x = np.zeros((n.max(), len(pages), 2 * WIDTH + PLAIN))
         for k, p in enumerate(pages):
@@ -193,9 +200,9 @@ class Labeller:
         # read backwards, each page from its own last block
         turn = np.where(np.arange(len(x))[:, None] < n, n - 1 - np.arange(len(x))[:, None], np.arange(len(x))[:, None])
         cols = np.arange(len(pages))
-        hf, tf = self._run(x, "f")
+        hf, tf = self._run(x, "f", learn)
         xb = x[turn, cols]
-        hb, tb = self._run(xb, "b")
+        hb, tb = self._run(xb, "b", learn)
         both = np.concatenate([hf, hb[turn, cols]], axis=2)
         p = 1 / (1 + np.exp(-np.clip(both @ self.w["out"] + self.w["bias"][0], -30, 30)))
         return n, x, xb, turn, cols, tf, tb, both, p
@@ -208,10 +215,10 @@ class Labeller:
         while at < len(order):
             longest = len(pages[order[at]]) * 5 // 4 + 4
             stop = at + 1
-            while stop < len(order) and stop - at < 128 and len(pages[order[stop]]) <= longest:
+            while stop < len(order) and stop - at < 128 and len(pages[order[stop]]) <= longest and (stop + 1 - at) * len(pages[order[stop]]) <= CELLS:
                 stop += 1
             some = order[at:stop]
-            p = self._forward([pages[k] for k in some])[-1]
+            p = self._forward([pages[k] for k in some], learn=False)[-1]
             for j, k in enumerate(some):
                 out[k] = p[: len(pages[k]), j]
             at = stop
@@ -454,16 +461,27 @@ def texts(model: Labeller, pages: list[str | None]) -> list[str]:
     return ["\n".join(b[0] for b, s in zip(f, p) if s >= 0.5) for f, p in zip(found, scores)]
 
 
+#: Characters of pages that are parsed and labelled at once; a longer page is alone.
+CHARS = 4 << 20
+
+
 def extract(pages: DataFrame, model: Labeller, html: str = "html", name: str = "text") -> DataFrame:
-    """pages without the html, with its main text under name."""
+    """pages without the html, with its main text under name, or under a longer one if pages has that."""
+    small_batches(pages.sparkSession)
     shipped = pages.sparkSession.sparkContext.broadcast(model)
-    kept = [f for f in pages.schema.fields if f.name not in (html, name)]
+    kept = [f for f in pages.schema.fields if f.name != html]
+    name = free_name(pages.select(*(f.name for f in kept)), name)
     names = [f.name for f in kept]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            for at in range(0, len(rows), 256):
-                part = rows.iloc[at : at + 256]
-                yield part[names].assign(**{name: texts(shipped.value, list(part[html]))})
-
-    return pages.select(*names, html).mapInPandas(run, T.StructType([*kept, T.StructField(name, T.StringType())]))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = np.cumsum([len(x.as_buffer() or b"") for x in batch.column(len(names))])
+            at = 0
+            while at < batch.num_rows:
+                stop = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + CHARS)))
+                part = batch.slice(at, stop - at)
+                found = pa.array(texts(shipped.value, part.column(len(names)).to_pylist()), pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], found], names=[*names, name])
+                at = stop
+
+    return pages.select(*names, html).mapInArrow(run, T.StructType([*kept, T.StructField(name, T.StringType())]))

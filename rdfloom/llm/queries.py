@@ -39,7 +39,7 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rdfloom.llm import html_extract
 
-    out = html_extract.extract(table(spark, sf_dir, "pages"), html_extract.default_model())
+    out = html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"), html_extract.default_model())
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
