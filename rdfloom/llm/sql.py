@@ -25,8 +25,11 @@ FROM f
 LINES = r"""
 WITH l AS (SELECT doc_id, i, string_split(text, chr(10))[i] AS l FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)),
 n AS (SELECT doc_id, i, trim(l, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS h, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM l WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
-w AS (SELECT doc_id, k, [i, lead(i) OVER o, lead(i, 2) OVER o] AS places, [h, lead(h) OVER o, lead(h, 2) OVER o] AS w, lead(i, 2) OVER o AS last FROM n WINDOW o AS (PARTITION BY doc_id ORDER BY k)),
-later AS (SELECT doc_id, places FROM w WHERE last IS NOT NULL QUALIFY row_number() OVER (PARTITION BY w ORDER BY doc_id, k) > 1),
+m AS (SELECT *, len(regexp_extract_all(h, '[^\x20\x09-\x0D]+')) AS words FROM n),
+x AS (SELECT doc_id, k, i, h, words, lead(i) OVER o AS i1, lead(h) OVER o AS h1, lead(words) OVER o AS words1, lead(i, 2) OVER o AS i2, lead(h, 2) OVER o AS h2 FROM m WINDOW o AS (PARTITION BY doc_id ORDER BY k)),
+w AS (SELECT doc_id, k, [i, i1, i2] AS places, [h, h1, h2] AS w FROM x WHERE i2 IS NOT NULL UNION ALL SELECT doc_id, k, [i], [h] FROM x WHERE words >= 50
+  UNION ALL SELECT doc_id, k, [i, i1], [h, h1] FROM x WHERE words < 50 AND words1 < 50 AND words + words1 >= 50),
+later AS (SELECT doc_id, places FROM w QUALIFY row_number() OVER (PARTITION BY w ORDER BY doc_id, k) > 1),
 gone AS (SELECT DISTINCT doc_id, unnest(places) AS i FROM later),
 c AS (SELECT doc_id, string_agg(l, chr(10) ORDER BY i) FILTER (g.i IS NULL) AS t, count(g.i) AS n_removed FROM l LEFT JOIN gone g USING (doc_id, i) GROUP BY doc_id)
 SELECT doc_id, n_removed, length(coalesce(t, '')) AS clean_chars, md5(coalesce(t, '')) AS clean_md5 FROM c
