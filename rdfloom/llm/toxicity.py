@@ -12,7 +12,8 @@ the text is an input of a score.
 
 Defined cases: a null or empty text has no sentence and scores the leak. Labels
 that are null or neither 0 nor 1, and rows with a null id, aren't trained on. If
-one label is missing, every text scores the leak. Repeated rows score alike. An
+one label is missing, every text scores the leak. Repeated rows score alike; of
+different texts under one id the smallest is trained on. An
 empty table gives an empty result; other columns are ignored.
 """
 
@@ -29,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rdfloom.llm.common import small_batches
+
 BITS = 18
 PREFIXES = (4, 5, 6)
 LEAK = 1e-3
@@ -138,25 +141,34 @@ def training_rows(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
     """A bounded sample: at most max_rows of each label in the order of a hash of the id, as far as max_words words reach."""
     named = labels.select(F.col(doc_id).alias("_id"), F.col(label).alias("y")).where("_id is not null and y in (0, 1)").groupBy("_id").agg(F.max("y").alias("y"))
     key = F.xxhash64(F.col("_id"), F.lit("sample"))
-    chosen = [named.where(F.col("y") == v).orderBy(key, "_id").limit(max_rows) for v in (0, 1)]
-    ids = chosen[0].union(chosen[1])
+    counts = {r.y: r["count"] for r in named.groupBy("y").count().collect()}
+    chosen = []
+    for v in sorted(counts):
+        # a bound on the hash that some max_rows ids pass, so that no task sends more than its share
+        share = min(1.0, 1.1 * max_rows / counts[v])
+        some = named.where((F.col("y") == v) & (F.pmod(key, F.lit(1 << 30)) <= int(share * (1 << 30)))).select("_id", key.alias("k")).collect()
+        chosen += sorted((r.k, r["_id"], v) for r in some)[:max_rows]
+    if not chosen:
+        return []
+    kind = docs.schema[doc_id].dataType
+    small = lambda rows: F.broadcast(docs.sparkSession.createDataFrame(rows, T.StructType([T.StructField("_id", kind), T.StructField("y", T.IntegerType())])))  # noqa: E731  max_rows of each label
     own = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("t"))
-    # sizes first, so that only what is used reaches the driver
-    sized = own.join(F.broadcast(ids), "_id").select("_id", "y", F.length(F.coalesce("t", F.lit(""))).alias("n"), key.alias("k")).dropDuplicates(["_id"]).orderBy("k", "_id").collect()
+    # sizes first, so that only what is used reaches the driver; of rows that share an id the smallest text is taken
+    sized = {r["_id"]: r.n for r in own.join(small([(i, int(v)) for _, i, v in chosen]), "_id").groupBy("_id").agg(F.length(F.coalesce(F.min("t"), F.lit(""))).alias("n")).collect()}
     total, kept = 0, []
-    for r in sized:
-        if total + r.n // 5 <= max_words:
-            total += r.n // 5
-            kept.append((r["_id"], r.y))
+    for _, i, v in sorted(chosen):
+        if i in sized and total + sized[i] // 5 <= max_words:
+            total += sized[i] // 5
+            kept.append((i, int(v)))
     if not kept:
         return []
-    chosen = docs.sparkSession.createDataFrame(kept, T.StructType([T.StructField("_id", docs.schema[doc_id].dataType), T.StructField("y", T.IntegerType())]))
-    return own.join(F.broadcast(chosen), "_id").dropDuplicates(["_id"]).orderBy(key, "_id").select("t", "y").collect()
+    return own.join(small(kept), "_id").groupBy("_id", "y").agg(F.min("t").alias("t")).orderBy(key, "_id").select("t", "y").collect()
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", spans: bool = True) -> DataFrame:
     """(doc_id, score, offending) for every row; offending: array of (start, end, score) of sentences."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # 2^BITS weights, whatever the data
+    small_batches(docs.sparkSession)
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
