@@ -8,7 +8,8 @@ best path to that position.
 * BPE models: scores are merge ranks, and summing them isn't what the model means.
   There a piece may extend a path only if merging the last two pieces' characters
   by rank gives back those two pieces. Of the pieces that end at a position exactly
-  one can, so that the same pass finds the segmentation that merging finds.
+  one can, so that the same pass finds the segmentation that merging finds. Texts
+  are cut at characters that are in no piece.
 
 Characters that no path covers become the unknown piece, or byte pieces where the
 model has byte fallback. Pieces that hold the space mark only at their start never
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from rdfloom.llm.common import free_name
+from rdfloom.llm.common import free_name, small_batches
 
 MARK = "▁"
 #: Characters at a word's start whose states are remembered.
@@ -76,6 +77,15 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
             at += n
 
 
+def _runs(text: str, known: set[str]) -> Iterator[str]:
+    """Runs of known characters, and of others."""
+    at = 0
+    for i in range(1, len(text) + 1):
+        if i == len(text) or (text[i] in known) != (text[at] in known):
+            yield text[at:i]
+            at = i
+
+
 class Remembered(dict):
     """word -> ids, in two generations of at most bound words: what is used outlives what isn't."""
 
@@ -151,6 +161,8 @@ class Codec:
             self.automaton.add_word(p, (i, len(p), {-1: True}))
         if reachable:
             self.automaton.make_automaton()
+        #: Whether a character that is no piece is in no piece either: no piece crosses it.
+        self.closed = all(c in self.chars for p in reachable for c in p)
         self.chunks = self._chunks()
 
     def _chunks(self) -> re.Pattern | None:
@@ -267,8 +279,12 @@ class Codec:
         if self.kind == BPE:
             if self.chars.issuperset(text):
                 return self._ranked(text)
-            # a character that is no piece never merges where the model has its characters as pieces; else merge by definition
-            found = [self.id_of.get(p, p) for p in self.merge(text)]
+            if self.closed:
+                found = []
+                for run in _runs(text, self.chars):
+                    found += self._ranked(run) if run[0] in self.chars else run
+            else:  # some piece holds a character that is none: merge by definition
+                found = [self.id_of.get(p, p) for p in self.merge(text)]
         else:
             found = [i if i >= 0 else chr(-i - 1) for i in self._scored(text)]
         out: list[int] = []
@@ -330,6 +346,7 @@ def _column(batch: pa.RecordBatch, name: str, value: pa.Array) -> pa.RecordBatch
 
 def encode(docs: DataFrame, text: str = "text", model: str | None = None, name: str = "piece_ids") -> DataFrame:
     """docs with the array of piece ids of each text."""
+    small_batches(docs.sparkSession)
     name, data = free_name(docs, name), _ship(docs.sparkSession, model or default_model())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -346,6 +363,7 @@ def encode(docs: DataFrame, text: str = "text", model: str | None = None, name:
 
 def decode(rows: DataFrame, ids: str = "piece_ids", model: str | None = None, name: str = "decoded") -> DataFrame:
     """rows with the text of each array of piece ids (null: an empty text)."""
+    small_batches(rows.sparkSession)
     name, data = free_name(rows, name), _ship(rows.sparkSession, model or default_model())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
