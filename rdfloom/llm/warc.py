@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rdfloom.llm.common import cut, fresh_path
+from rdfloom.llm.common import cut, fresh_path, small_batches
 
 ARCHIVE = 16 << 20
 VERSION = b"WARC/1.1"
@@ -90,6 +90,7 @@ def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = 0, compression: str = "gzip") -> None:
     """Write the captures of pages as archives under path; payload: text (as UTF-8) or bytes."""
+    small_batches(pages.sparkSession)
     own = pages.select(F.col(key).cast("long").alias("key"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(payload).cast("binary"), F.lit(b"")).alias("payload")).where("key is not null")
     own = own.withColumn("sha", F.sha1("payload"))
     # captures are named by key, digest and copy: the same name every time that a lost task runs again
