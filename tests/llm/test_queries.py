@@ -5,12 +5,12 @@ import re
 import zlib
 
 import duckdb
-import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
 from test_models_and_files import brute_url
-from test_text_operators import brute_components, brute_fingerprint, brute_lines
+from test_near_copies import brute as brute_copies
+from test_text_operators import brute_components, brute_fingerprint, brute_lines, brute_scores
 
 import __spark_entry__ as driver
 import corpus_pipeline
@@ -127,7 +127,9 @@ def test_op9(run, docs):
 
 def test_op10(run, docs):
     rows = run("op10_lm_scoring")
-    assert {r.doc_id: r.n_tokens for r in rows} == {d: len(t.encode().split()) for d, t in docs.items()} and all(np.isfinite(r.score) for r in rows)
+    ids, good = sorted(docs), {d for d, q in read("labels", "doc_id, quality") if q == 1}
+    want = dict(zip(ids, brute_scores([docs[i] for i in ids], {k for k, i in enumerate(ids) if i in good})))
+    assert len(rows) == len(ids) and all(r.n_tokens == want[r.doc_id][0] and abs(r.score - want[r.doc_id][1]) < 1e-9 for r in rows)
 
 
 def test_pipeline(run, docs, library):
@@ -137,8 +139,8 @@ def test_pipeline(run, docs, library):
     kept = {r[0] for r in c.sql(f"SELECT doc_id FROM ({oracles.QUALITY}) WHERE kept").fetchall()}
     texts = brute_lines((i, docs[i]) for i in sorted(kept))
     ids = sorted(texts)
-    label = brute_components([brute_fingerprint(texts[i]) for i in ids], ids)
-    texts = {i: texts[i] for i in ids if label[i] == i}
+    label = brute_copies([texts[i] for i in ids])
+    texts = {i: texts[i] for k, i in enumerate(ids) if label[k] == k}
     bad = contaminated(texts)
     assert {r.doc_id: list(r.piece_ids) for r in run("pipeline")} == {i: library.encode(t) for i, t in texts.items() if i not in bad}
     assert 0 < len(bad) < len(texts) < len(docs)

@@ -69,6 +69,26 @@ def test_quality_clash_path(spark):
     assert a == b and len(a) > 20
 
 
+def test_cascade_measures_only_what_it_needs(spark, texts):
+    """The plan of keep holds the sort of the windows once for each of its two uses; the order changes no verdict."""
+    own = docs(spark, texts)
+    kept = {r.doc_id for r in quality.keep(own).collect()}
+    plan = quality.keep(own)._jdf.queryExecution().executedPlan().toString()
+    one = own.select(quality.n_repeat_words(quality.words_of(F.col("text"))).alias("n"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("sort_array") == one.count("sort_array")
+    for rules in (quality.RULES[::-1], quality.RULES):
+        t = F.coalesce("text", F.lit(""))
+        failed = quality._let(quality.words_of(t), lambda w: F.coalesce(quality.cascade(t, quality.Unmeasured(t, w), rules), F.lit("")))  # noqa: B023
+        assert {r.doc_id for r in own.where(failed == "").collect()} == kept
+    found = {e.name: e for e in quality.estimate(own)}
+    assert set(found) == {r.name for r in quality.RULES} and all(0 <= e.rejected <= 1 for e in found.values())
+    assert found["too_few_words"].rejected == sum(len(quality_words(t)) < 50 for t in texts if len(t or "") <= quality.SAMPLE_CHARS) / sum(len(t or "") <= quality.SAMPLE_CHARS for t in texts)
+
+
+def quality_words(t):
+    return [x for x in __import__("re").split(r"[\x20\x09-\x0D]+", t or "") if x]
+
+
 def test_quality_order_is_by_rejection_per_cost():
     found = [quality.Estimate(r.name, s, g) for r, s, g in zip(quality.RULES, range(1, 20), (0, 9, 1, 0, 0, 0, 7, 0, 0))]
     assert [r.name for r in quality.ordered(quality.RULES, found)[:2]] == [quality.RULES[1].name, quality.RULES[6].name]
@@ -157,16 +177,33 @@ def brute_lines(rows):
     for i, t in sorted((r for r in rows if r[0] is not None and r[1] is not None), key=lambda r: r[0]):
         lines = t.split("\n")
         at = [(p, x.strip(" \t\r\x0b\x0c")) for p, x in enumerate(lines) if x.strip(" \t\r\x0b\x0c")]
+        n = [len(x.encode().split()) for _, x in at]
         gone = set()
-        for k in range(len(at) - 2):
-            w = tuple(x for _, x in at[k : k + 3])
-            if w in seen:
-                gone |= {p for p, _ in at[k : k + 3]}
-            seen.add(w)
+        for k in range(len(at)):
+            sizes = {3} if k + 3 <= len(at) else set()
+            if n[k] >= 50:
+                sizes.add(1)
+            elif k + 1 < len(at) and n[k + 1] < 50 <= n[k] + n[k + 1]:
+                sizes.add(2)
+            for size in sizes:
+                w = tuple(x for _, x in at[k : k + size])
+                if w in seen:
+                    gone |= {p for p, _ in at[k : k + size]}
+                seen.add(w)
         out[i] = "\n".join(x for p, x in enumerate(lines) if p not in gone)
     return out
 
 
+def test_long_passages_of_few_lines(spark):
+    """A line of 50 words, and two lines that have as many together, go wherever they repeat; shorter ones stay."""
+    rng = random.Random(12)
+    line, half, other, short = prose(rng, 52), prose(rng, 26), prose(rng, 27), prose(rng, 30)
+    own = [f"a\n{line}\nb", f"c\n  {line}\nd", line, f"{half}\n{other}", f"e\n{half}\n\n{other}\nf", f"{half}\ng", f"{short}\nh", f"{short}\ni", f"{line}\n{line}"]
+    got = {r.doc_id: r.text for r in linededup.dedup(docs(spark, own)).collect()}
+    assert got == brute_lines(enumerate(own))
+    assert got[1] == "c\nd" and got[2] == "" and got[4] == "e\n\nf" and got[5] == own[5] and got[7] == own[7] and got[8] == ""
+
+
 def test_line_dedup(spark, texts):
     shared = "first line\nsecond line\n\n  third line\nfourth"
     more = [*texts, f"intro\n{shared}\nend", f"{shared}\nother", "second line\nthird line\nfourth", "a\na\na\na\na", shared]
