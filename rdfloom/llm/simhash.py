@@ -17,10 +17,10 @@ NEAR codewords that agree best, weighed by the margin of each bit, and the key i
 pair of segments again. A pair at 0.8 shares a key with a probability of 0.98, one
 at 0.85 of 0.997, one at 0.9 of 0.9999 (measured in tests). Pairs of a bucket that
 are near in all 128 bits are candidates, and each candidate is verified on the whole
-sets, so that nothing below the bound is linked. A bucket first compares its members
-with few central ones, so that a group of copies costs its size. What that leaves in
-different components is compared inside of tasks, by families of texts that near
-bits connect, in pairs of blocks of bounded size; each emits a spanning forest.
+sets, so that nothing below the bound is linked. First each text is compared with
+the smallest one that it is near to, so that a group of copies costs its size. What
+that leaves in different components is compared inside of tasks, by families of texts
+that near bits connect, in pairs of blocks of bounded size; each emits a spanning forest.
 
 Buckets are streamed in sorted order. One that is larger than BUCKET goes on to a
 second pass, dealt as pairs of blocks of at most that size, so that no task holds
@@ -57,8 +57,8 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 PAIRS = ((0, 1), (0, 2), (1, 2))
 #: Fingerprints of a key bucket that one task holds at a time.
 BUCKET = 2048
-#: Sets of shingles of a family that one task holds at a time.
-FAMILY = 1024
+#: By similarity: members of a key bucket, and sets of shingles of a family, that one task holds at a time.
+WIDE_BUCKET, FAMILY = 512, 512
 #: Rows that one task turns into keys.
 NODES = 8192
 
@@ -221,9 +221,9 @@ def _link(rows: DataFrame, name: str, max_bits: int, bucket: int) -> DataFrame:
 
 
 def _dealt(over: DataFrame, half: int, *columns: str) -> DataFrame:
-    """Rows of hot keys as pairs of blocks of about half rows, under the name of the pair: (pair, columns)."""
+    """Rows of hot keys as pairs of blocks of about half rows, by the first column, under the name of the pair: (pair, columns)."""
     blocks = over.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / half).cast("int").alias("n"))
-    dealt = over.join(blocks, "key").withColumn("i", F.pmod(F.xxhash64(columns[0], "key"), F.col("n")).cast("int"))
+    dealt = over.join(blocks, "key").withColumn("i", F.pmod(F.xxhash64(columns[0]), F.col("n")).cast("int"))
     dealt = dealt.select("key", "i", *columns, F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("j"))
     return dealt.select(F.concat_ws("/", "key", F.least("i", "j"), F.greatest("i", "j")).alias("pair"), *columns)
 
@@ -287,11 +287,12 @@ def _codewords() -> np.ndarray:
 
 def nearest(margin: np.ndarray) -> np.ndarray:
     """The NEAR best codeword indices of each of WIDE segments; margin: a row of 128 for each text."""
-    out = []
-    for k in range(WIDE):
-        score = margin[:, k * golay.LENGTH : (k + 1) * golay.LENGTH].astype(np.float32) @ _codewords()
-        out.append(np.argpartition(-score, NEAR - 1, axis=1)[:, :NEAR])
-    return np.concatenate(out, axis=1).astype(np.int16)
+    out = np.empty((len(margin), WIDE * NEAR), np.int16)
+    for at in range(0, len(margin), 64):  # 4,096 scores a row and segment
+        for k in range(WIDE):
+            score = margin[at : at + 64, k * golay.LENGTH : (k + 1) * golay.LENGTH].astype(np.float32) @ -_codewords()
+            out[at : at + 64, k * NEAR : (k + 1) * NEAR] = np.argpartition(score, NEAR - 1, axis=1)[:, :NEAR]
+    return out
 
 
 def _wide_keys(batches: Batches) -> Batches:
@@ -321,25 +322,6 @@ def max_distance(similarity: float) -> int:
     return round(BITS * p + 3.5 * math.sqrt(BITS * p * (1 - p)))
 
 
-def _stars(d: np.ndarray, most: int) -> tuple[list[tuple[int, np.ndarray]], bool]:
-    """(centre, members) until every near pair has an end that is covered, and whether a near pair is in no star."""
-    near = d <= most
-    np.fill_diagonal(near, False)
-    own = np.nonzero(near.any(axis=1))[0]  # most members of a bucket are near to none
-    near, d = near[np.ix_(own, own)], d[np.ix_(own, own)]
-    stars, free = [], np.ones(len(own), dtype=bool)
-    while free.any():
-        degree = near[:, free].sum(axis=1)
-        degree[~free] = -1
-        centre = int(np.lexsort((np.where(near, d, 0).sum(axis=1, dtype=np.int64), -degree))[0])
-        members = np.nonzero(near[centre])[0]
-        stars.append((int(own[centre]), own[members]))
-        near[centre, :] = near[:, centre] = False
-        free[centre] = False
-        free[members] = False
-    return stars, bool(near.any())
-
-
 def _labels(near: np.ndarray) -> np.ndarray:
     """The smallest index that each row reaches."""
     label = np.arange(len(near))
@@ -353,7 +335,7 @@ def _labels(near: np.ndarray) -> np.ndarray:
 
 
 def _candidates(rows: DataFrame, name: str, most: int, bucket: int) -> DataFrame:
-    """(a, b, lo, hi, name, kind): edges of the stars of each bucket (kind 0); where near pairs are in no star, edges that connect them (kind 2); rows of longer runs (kind 1, b null)."""
+    """(a, b, lo, hi, name, kind) of each bucket: a node and the smallest one that it is near to (kind 0); a node and the smallest one that near pairs connect it to, if that is another (kind 2); rows of longer runs (kind 1, b null)."""
     kind = rows.schema[name].dataType.simpleString()
 
     def found(batches: Batches) -> Iterator[tuple]:
@@ -361,16 +343,20 @@ def _candidates(rows: DataFrame, name: str, most: int, bucket: int) -> DataFrame
             if not whole:
                 yield node, None, lo, hi, key, 1
                 continue
-            d = _distances(lo, hi)
-            if len(node) == 2 and d[0, 1] > most:
+            order = np.argsort(node)
+            node = node[order]
+            near = _distances(lo[order], hi[order]) <= most
+            np.fill_diagonal(near, False)
+            own = np.nonzero(near.any(axis=1))[0]  # most members of a bucket are near to none
+            if not len(own):
                 continue
-            stars, more = _stars(d, most)
-            for centre, members in stars:
-                yield np.full(len(members), node[centre]), node[members], None, None, None, 0
-            if more:
-                label = _labels(d <= most)
-                own = np.nonzero(label != np.arange(len(label)))[0]
-                yield node[own], node[label[own]], None, None, None, 2
+            node, near = node[own], near[np.ix_(own, own)]
+            least, label, at = near.argmax(axis=1), _labels(near), np.arange(len(node))
+            first = least < at
+            yield node[first], node[least[first]], None, None, None, 0
+            other = (label < at) & (label != least)
+            if other.any():
+                yield node[other], node[label[other]], None, None, None, 2
 
     def run(batches: Batches) -> Batches:
         return _gathered(found(batches), f"a b lo hi {name} kind", [pa.int64()] * 4 + [pa.int32() if kind == "int" else pa.string(), pa.int32()])
@@ -415,6 +401,13 @@ def _across(rows: DataFrame, most: int, similarity: float) -> DataFrame:
     return rows.select("pair", "node", "root", "lo", "hi", "s").repartition("pair").sortWithinPartitions("pair").mapInArrow(run, "a long, b long")
 
 
+def _chained(edges: DataFrame) -> DataFrame:
+    """(a, b): fewer edges that connect the same. A node's ends in order make a chain, whose links the nodes of a group share; a has some end for each of its keys at most."""
+    ends = edges.groupBy("a").agg(F.array_sort(F.collect_set("b")).alias("b"))
+    link = F.explode(F.transform("b", lambda x, i: F.struct(F.when(i == 0, F.col("a")).otherwise(F.get("b", i - 1)).alias("a"), x.alias("b"))))
+    return ends.select(link.alias("x")).select("x.a", "x.b").distinct()
+
+
 def _alike(a: Column, b: Column, similarity: float) -> Column:
     both = F.size(F.array_intersect(a, b))
     return both >= similarity * (F.size(a) + F.size(b) - both) - 1e-9
@@ -446,7 +439,7 @@ def _sets(source: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return cut(found.join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.first("s").alias("s")))
 
 
-def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, similarity: float = SIMILARITY, bucket: int = BUCKET) -> DataFrame:
+def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, similarity: float = SIMILARITY, bucket: int = WIDE_BUCKET) -> DataFrame:
     """(doc_id, node, root) for every row of docs: the hash of its set of shingles, and its component, linked by Jaccard similarity."""
     small_batches(docs.sparkSession)
     most = max_distance(similarity)
@@ -456,7 +449,7 @@ def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
             sets = [shingles(t.as_py(), width) for t in b.column(1)]
             m = np.array([margins(s) for s in sets]).reshape(-1, BITS)
             words = np.packbits(m > 0, axis=1, bitorder="little").reshape(-1, BITS // 8).view(np.int64)
-            index = nearest(m) if len(sets) else np.zeros((0, WIDE * NEAR), np.int16)
+            index = nearest(m)
             yield _batch("doc_id node lo hi near", b.column(0), pa.array([_node(s) for s in sets], pa.int64()), np.ascontiguousarray(words[:, 0]), np.ascontiguousarray(words[:, 1]), pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * (WIDE * NEAR)), pa.array(index.reshape(-1))))
 
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t"))
@@ -467,17 +460,16 @@ def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     found = cut(_candidates(keys, "key", most, bucket))
     over = found.where("kind = 1").select("key", F.col("a").alias("node"), "lo", "hi")
     hot = cut(_candidates(_dealt(over, bucket // 2, "node", "lo", "hi"), "pair", most, 1 << 30))
-    edge = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    tried = cut(found.where("kind = 0").select(*edge).union(hot.where("kind = 0").select(*edge)).distinct())
-    # what may be alike beyond the stars lies in one family
-    family = cut(components(found.where("kind = 2").select("a", "b").union(hot.where("kind = 2").select("a", "b")))).toDF("node", "key")
+    near = cut(found.where("kind != 1").select("a", "b", "kind").union(hot.where("kind != 1").select("a", "b", "kind")).distinct())
+    # a pair for each node at most, so that a group of copies costs its size; what may be alike beyond these lies in one family
+    tried = cut(near.where("kind = 0").groupBy("a").agg(F.min("b").alias("b")))
+    family = cut(components(_chained(near.select("a", "b")))).toDF("node", "key")
 
-    wanted = tried.select("a").union(tried.select("b")).union(family.select("node")).toDF("node").distinct()
-    sets = _sets(source, cut(wanted.join(nodes.select("node", "doc_id"), "node")), width)
+    sets = _sets(source, cut(family.select("node").join(nodes.select("node", "doc_id"), "node")), width)
     links = _verified(tried, sets, similarity)
     roots = components(links).toDF("node", "root")
     labelled = cut(family.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")))
-    mixed = labelled.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("key")
+    mixed = labelled.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count(F.lit(1)).alias("n")).where("least < most and n > 2").select("key")
     left = labelled.join(mixed, "key").join(nodes.select("node", "lo", "hi"), "node").join(sets.where(F.size("s") > 0), "node")
     left = _across(_dealt(left, FAMILY // 2, "node", "root", "lo", "hi", "s"), most, similarity)
     roots = components(links.union(cut(left))).toDF("node", "root")
