@@ -27,7 +27,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,7 +40,7 @@ MASKS = ((0, 1, 3, 5, 6, 7), (0, 1, 2, 6, 9, 10), (0, 2, 3, 9, 11, 12), (0, 1, 2
 MIN_ITEM, MIN_OVERLAP, IDENTITY = 5, 13, 0.8
 
 _TOKEN = re.compile(r"\w+")
-_HASHES = WordHashes(9)
+_HASHES = WordHashes(9, 200_000)
 
 
 def tokens(text: str | None) -> np.ndarray:
@@ -91,19 +91,25 @@ def overlap(doc: np.ndarray, item: np.ndarray, diagonal: int, min_overlap: int =
     return (best[0] + lo, best[1] + lo) if best[1] else (0, 0)
 
 
-def _items(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+Batches = Iterator[pa.RecordBatch]
+
+
+def _batch(names: str, *columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=names.split())
+
+
+def _items(batches: Batches) -> Batches:
     for rows in batches:
-        found = [(i, t.view(np.int64)) for i, x in zip(rows["item_id"], rows["t"]) if len(t := tokens(x)) >= MIN_ITEM]
-        if found:
-            yield pd.DataFrame(found, columns=["item_id", "toks"])
+        found = [(i, t.view(np.int64)) for i, x in zip(rows.column(0).to_pylist(), rows.column(1)) if len(t := tokens(x.as_py())) >= MIN_ITEM]
+        yield _batch("item_id toks", pa.array([i for i, _ in found], pa.int64()), pa.array([t for _, t in found], pa.list_(pa.int64())))
 
 
-def _item_seeds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _item_seeds(batches: Batches) -> Batches:
     for rows in batches:
-        for item, toks in zip(rows["item_id"], rows["toks"]):
-            t = np.asarray(toks, dtype=np.int64).view(np.uint64)
+        for item, toks in zip(rows.column(0).to_pylist(), rows.column(1)):
+            t = toks.values.to_numpy().view(np.uint64)
             for at, h in seeds(t, (run_of(len(t)),) if len(t) < MIN_OVERLAP else ()):
-                yield pd.DataFrame({"h": h.view(np.int64), "item_id": item, "q": at})
+                yield _batch("h item_id q", h.view(np.int64), np.full(len(h), item, np.int64), at)
 
 
 def find(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", min_overlap: int = MIN_OVERLAP, identity: float = IDENTITY) -> DataFrame:
@@ -111,47 +117,46 @@ def find(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: st
     spark = docs.sparkSession
     small_batches(spark)
     bench = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("t")).where("item_id is not null")
-    items = bench.mapInPandas(_items, "item_id long, toks array<long>").groupBy("toks").agg(F.min("item_id").alias("item_id"))
+    items = bench.mapInArrow(_items, "item_id long, toks array<long>").groupBy("toks").agg(F.min("item_id").alias("item_id"))
     items = cut(items.select("item_id", "toks"))
-    of_items = cut(items.mapInPandas(_item_seeds, "h long, item_id long, q int"))
+    of_items = cut(items.mapInArrow(_item_seeds, "h long, item_id long, q int"))
     short = tuple(sorted({run_of(r.n) for r in items.select(F.size("toks").alias("n")).where(f"n < {MIN_OVERLAP}").distinct().collect()}))  # fewer than MIN_OVERLAP values
     bits = spark.sparkContext.broadcast(bitmap(of_items.select("h")))
 
-    def hits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def hits(batches: Batches) -> Batches:
         known = bits.value
         for rows in batches:
             ids, ps, hs = [], [], []
-            for i, x in zip(rows["doc_id"], rows["t"]):
-                for at, h in seeds(tokens(x), short):
+            for i, x in zip(rows.column(0).to_pylist(), rows.column(1)):
+                for at, h in seeds(tokens(x.as_py()), short):
                     on = np.nonzero(in_bitmap(known, h))[0]
                     if len(on):
-                        ids.append(np.full(len(on), i))
+                        ids.append(np.full(len(on), i, np.int64))
                         ps.append(at[on])
                         hs.append(h[on].view(np.int64))
             if ids:
-                yield pd.DataFrame({"h": np.concatenate(hs), "doc_id": np.concatenate(ids), "p": np.concatenate(ps)})
+                yield _batch("h doc_id p", np.concatenate(hs), np.concatenate(ids), np.concatenate(ps))
 
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t")).where("doc_id is not null")
-    seen = own.mapInPandas(hits, "h long, doc_id long, p int")
+    seen = own.mapInArrow(hits, "h long, doc_id long, p int")
     diagonals = seen.join(of_items, "h").select("doc_id", "item_id", (F.col("p") - F.col("q")).alias("d")).distinct()
     pairs = diagonals.groupBy("doc_id", "item_id").agg(F.collect_set("d").alias("ds")).join(items, "item_id")
     wanted = pairs.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "ds", "toks")).alias("wanted"))
 
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def verify(batches: Batches) -> Batches:
         for rows in batches:
             out = []
-            for i, x, want in zip(rows["doc_id"], rows["t"], rows["wanted"]):
-                doc = tokens(x)
+            for i, x, want in zip(rows.column(0).to_pylist(), rows.column(1), rows.column(2)):
+                doc = tokens(x.as_py())
                 for w in want:
-                    item = np.asarray(w["toks"], dtype=np.int64).view(np.uint64)
-                    spans = [overlap(doc, item, d, min_overlap, identity) for d in w["ds"]]
+                    item = w["toks"].values.to_numpy().view(np.uint64)
+                    spans = [overlap(doc, item, d, min_overlap, identity) for d in w["ds"].as_py()]
                     start, end = max(spans, key=lambda s: (s[1] - s[0], -s[0]))
                     if end:
-                        out.append((i, w["item_id"], start, end))
-            if out:
-                yield pd.DataFrame(out, columns=["doc_id", "item_id", "start", "end"])
+                        out.append((i, w["item_id"].as_py(), start, end))
+            yield _batch("doc_id item_id start end", *(pa.array([o[k] for o in out], pa.int64() if k < 2 else pa.int32()) for k in range(4)))
 
-    found = own.join(wanted, "doc_id").mapInPandas(verify, "doc_id long, item_id long, start int, end int")
+    found = own.join(wanted, "doc_id").select("doc_id", "t", "wanted").mapInArrow(verify, "doc_id long, item_id long, start int, end int")
     longest = F.max(F.struct((F.col("end") - F.col("start")).alias("n"), (-F.col("start")).alias("s"), "end"))
     return found.groupBy("doc_id", "item_id").agg(longest.alias("x")).select("doc_id", "item_id", (-F.col("x.s")).alias("start"), "x.end")
 

@@ -330,13 +330,15 @@ def _ship(spark: SparkSession, model: str):
     return spark.sparkContext.broadcast(data)
 
 
-_BY_DATA: dict[int, Codec] = {}
+#: Words that a worker remembers, in each of two generations.
+REMEMBERED = 250_000
+_BY_DATA: dict[tuple[int, int], Codec] = {}
 
 
-def _of(data: bytes) -> Codec:
-    key = hash(data)
+def _of(data: bytes, bound: int = REMEMBERED) -> Codec:
+    key = hash(data), bound
     if key not in _BY_DATA:
-        _BY_DATA[key] = Codec(data)
+        _BY_DATA[key] = Codec(data, bound)
     return _BY_DATA[key]
 
 
@@ -344,13 +346,13 @@ def _column(batch: pa.RecordBatch, name: str, value: pa.Array) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays([*batch.columns, value], [*batch.schema.names, name])
 
 
-def encode(docs: DataFrame, text: str = "text", model: str | None = None, name: str = "piece_ids") -> DataFrame:
-    """docs with the array of piece ids of each text."""
+def encode(docs: DataFrame, text: str = "text", model: str | None = None, name: str = "piece_ids", remember: int = REMEMBERED) -> DataFrame:
+    """docs with the array of piece ids of each text; remember: words that a worker keeps, which trades memory for time."""
     small_batches(docs.sparkSession)
     name, data = free_name(docs, name), _ship(docs.sparkSession, model or default_model())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _of(data.value)
+        codec = _of(data.value, remember)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
