@@ -30,7 +30,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id and the piece ids of each document."""
-    return sentencepiece_codec.encode(docs.select("doc_id", "text")).select("doc_id", "piece_ids")
+    return sentencepiece_codec.encode(docs.select("doc_id", "text"), remember=80_000).select("doc_id", "piece_ids")
 
 
 STAGES = [
