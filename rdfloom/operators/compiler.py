@@ -12,7 +12,7 @@ from rdfloom.functions.expressions import Expressions, Val, unified
 from rdfloom.functions.terms import DOUBLE, INTEGER, STRING, TERM, constant, convert, lit_type, matches, to_term
 from rdfloom.operators.paths import O, Paths, S
 from rdfloom.operators.solution import Solution, column, empty, guard, join, left_join, name_of, null_of, semi_join, union, unit
-from rdfloom.plans.algebra import UNIT, Agg, Bgp, Call, Exists, Extend, Filter, Graph, Iri, Join, LeftJoin, Minus, Query, SubSelect, Triple, Union, Values, Var, aggregates, children, expr_vars, replace, variables
+from rdfloom.plans.algebra import UNIT, Agg, Bgp, Call, Exists, Extend, Filter, Graph, Iri, Join, LeftJoin, Minus, Query, Repeat, Seq, SubSelect, Triple, Union, Values, Var, aggregates, children, expr_vars, replace, variables
 from rdfloom.sources.scope import Scope
 
 
@@ -154,7 +154,9 @@ class Compiler:
         if ready is not None:
             pairs = _bound(ready, start, end)
         else:
-            ends = [given.only([x.name]) if isinstance(x, Var) and given is not None and x.name in given.certain else None for x in (t.s, t.o)]
+            # a path of one hop meets what there is in the join that follows
+            wide = isinstance(t.p, Seq | Repeat)
+            ends = [given.only([x.name]) if wide and isinstance(x, Var) and given is not None and x.name in given.certain else None for x in (t.s, t.o)]
             pairs = Paths(lambda tr: self.source.star([tr], scope)).pairs(t.p, start, end, *ends)
         df, types = pairs.df, {}
         if isinstance(t.s, Var) and t.s == t.o:
