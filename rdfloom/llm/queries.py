@@ -86,16 +86,17 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = cut(decontam.find(docs, table(spark, sf_dir, "benchmark")))
-    per = found.groupBy("doc_id").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.max(F.col("end") - F.col("start")).cast("long").alias("longest"))
+    per = found.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("item_id")), ",").alias("item_ids"), F.max(F.col("end") - F.col("start")).cast("long").alias("longest"))
     out = docs.select("doc_id").join(per, "doc_id", "left")
-    return out.select("doc_id", F.col("item_ids").isNotNull().alias("contaminated"), F.coalesce("item_ids", F.array().cast("array<long>")).alias("item_ids"), F.coalesce("longest", F.lit(0).cast("long")).alias("longest"))
+    return out.select("doc_id", F.col("item_ids").isNotNull().alias("contaminated"), F.coalesce("item_ids", F.lit("")).alias("item_ids"), F.coalesce("longest", F.lit(0).cast("long")).alias("longest"))
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rdfloom.llm import lmscore
 
     good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-    return lmscore.score(table(spark, sf_dir, "documents"), good)
+    out = lmscore.score(table(spark, sf_dir, "documents"), good)
+    return out.select("doc_id", "n_tokens", F.round("score", 9).alias("score"))
 
 
 def queries() -> dict:

@@ -45,4 +45,37 @@ FROM s, LATERAL (SELECT list_transform(range(0, 32), lambda i: list_sum(list_tra
   ((('0x' || substr(x, 1 + ((5 * i + b) // 4), 1))::INTEGER >> (3 - (5 * i + b) % 4)) & 1) << (4 - b)))::INTEGER) AS v) bit_string_value
 """
 
-ORACLES = {"op2_quality_rules": QUALITY, "op6_line_dedup": LINES, "op7_warc": WARC}
+#: Every diagonal on which document and item agree often enough, without seeds: a stretch ends where they agree and begins as far
+#: before its first agreement as the share of agreements allows.
+LEAKS = r"""
+WITH i AS (SELECT min(item_id) AS item_id, ts FROM (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS ts FROM benchmark WHERE item_id IS NOT NULL) WHERE len(ts) >= 5 GROUP BY ts),
+iq AS (SELECT item_id, len(ts) AS n, least(13, len(ts)) AS need, unnest(ts) AS tok, unnest(range(0, len(ts))) AS q FROM i),
+dp AS (SELECT doc_id, unnest(ts) AS tok, unnest(range(0, len(ts))) AS p FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS ts FROM documents)),
+m AS (SELECT doc_id, item_id, need, p - q AS d, p FROM dp JOIN iq USING (tok)),
+a AS (SELECT *, row_number() OVER o AS k, lag(p, 1, greatest(d, 0) - 1) OVER o AS before FROM m
+  WINDOW o AS (PARTITION BY doc_id, item_id, d ORDER BY p) QUALIFY count(*) OVER (PARTITION BY doc_id, item_id, d) >= 0.8 * need),
+s AS (SELECT a.doc_id, a.item_id, a.need, b.p + 1 - greatest(a.before + 1, b.p + 1 - 5 * (b.k - a.k + 1) // 4) AS len, b.p - a.p AS least_len
+  FROM a JOIN a b ON a.doc_id = b.doc_id AND a.item_id = b.item_id AND a.d = b.d AND a.k <= b.k),
+found AS (SELECT doc_id, item_id, max(len) AS len FROM s WHERE len > least_len AND len >= need GROUP BY ALL),
+per AS (SELECT doc_id, string_agg(item_id::VARCHAR, ',' ORDER BY item_id) AS item_ids, max(len) AS longest FROM found GROUP BY doc_id)
+SELECT doc_id, item_ids IS NOT NULL AS contaminated, coalesce(item_ids, '') AS item_ids, coalesce(longest, 0)::BIGINT AS longest FROM documents LEFT JOIN per USING (doc_id)
+"""
+
+#: Both models counted over all documents, less the document itself; the empty word is the start and the end of a text.
+LM = r"""
+WITH d AS (SELECT doc_id, (doc_id IN (SELECT doc_id FROM labels WHERE quality = 1))::INTEGER AS g,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+x AS (SELECT doc_id, g, CASE WHEN i = 1 THEN '' ELSE ws[i - 1] END AS h, coalesce(ws[i], '') AS w FROM (SELECT doc_id, g, ws, unnest(range(1, len(ws) + 2)) AS i FROM d WHERE len(ws) > 0)),
+own AS (SELECT doc_id, g, h, w, count(*)::DOUBLE AS c FROM x GROUP BY ALL),
+ow AS (SELECT doc_id, g, w, sum(c) AS o FROM own GROUP BY ALL),
+pair AS (SELECT h, w, sum(c) AS b, sum(c * g) AS t FROM own GROUP BY ALL),
+word AS (SELECT w, sum(o) AS b, sum(o * g) AS t FROM ow GROUP BY ALL),
+n AS (SELECT sum(t) AS nt, sum(t) / sum(b) AS ratio FROM word),
+s AS (SELECT doc_id, c * ln((ratio * (pair.b - c) + 50 * (ratio * (word.b - o) + 1) / (nt + 1)) / ((pair.t - c * own.g) + 50 * (word.t - o * own.g + 1) / (nt + 1))) AS v
+    FROM own JOIN ow USING (doc_id, w) JOIN pair USING (h, w) JOIN word USING (w), n
+  UNION ALL SELECT doc_id, -o * ln((ratio * (b - o) + 50) / (t - o * g + 50)) FROM ow JOIN word USING (w), n),
+total AS (SELECT doc_id, sum(v) AS v FROM s GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_tokens, round(coalesce(v / (len(ws) + 1), 0), 9) AS score FROM d LEFT JOIN total USING (doc_id)
+"""
+
+ORACLES = {"op2_quality_rules": QUALITY, "op6_line_dedup": LINES, "op7_warc": WARC, "op9_decontamination": LEAKS, "op10_lm_scoring": LM}
