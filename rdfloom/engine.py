@@ -73,9 +73,10 @@ class Dataset:
 
     @classmethod
     def from_quads(cls, spark: SparkSession, quads: DataFrame, settings: Settings | None = None) -> Dataset:
+        shared = None
         if "g" not in quads.columns:
-            quads = quads.withColumn("g", F.lit(None).cast("string"))
-        return cls(spark, TripleTable(spark, quads.select("s", "p", "o", "g").dropDuplicates()), settings)
+            quads, shared = quads.withColumn("g", F.lit(None).cast("string")), frozenset()
+        return cls(spark, TripleTable(spark, quads.select("s", "p", "o", "g").dropDuplicates(), shared=shared), settings)
 
     @classmethod
     def load(cls, spark: SparkSession, inputs: list, report: bool = False, settings: Settings | None = None) -> Dataset:

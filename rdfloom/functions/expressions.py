@@ -303,6 +303,17 @@ def _strdt(v: Val, dt: Val) -> Val:
     return Val(TERM, F.concat(F.lit('"'), v.string, F.lit('"^^<'), dt.lex, F.lit(">")))
 
 
+def _timezone(v: Val) -> Val:
+    """The offset of a time as a duration; without one, an error."""
+    part = lambda i: F.regexp_extract(v.lex, r"([+-])(\d\d):(\d\d)$", i)
+    hours, minutes = (F.coalesce(part(i).try_cast("int"), F.lit(0)) for i in (2, 3))
+    size = lambda n, unit: F.when(n > 0, F.concat(n.cast("string"), F.lit(unit))).otherwise("")
+    none = (hours == 0) & (minutes == 0)
+    text = F.when(none, "PT0S").otherwise(F.concat(F.when(part(1) == "-", "-").otherwise(""), F.lit("PT"), size(hours, "H"), size(minutes, "M")))
+    known = _time(v).isNotNull() & v.lex.rlike(r"(Z|[+-]\d\d:\d\d)$")
+    return Val(TERM, F.when(known, F.concat(F.lit('"'), text, F.lit('"^^<http://www.w3.org/2001/XMLSchema#dayTimeDuration>'))))
+
+
 def _kind(f: Callable[[Val], Column]):
     return lambda v: _bool(F.when(v.col.isNotNull(), f(v)))
 
@@ -350,6 +361,8 @@ _VALUES = {
     "MINUTES": lambda v: _int(F.minute(_time(v))),
     "SECONDS": lambda v: Val(lit_type(DECIMAL), F.date_part(F.lit("SECOND"), _time(v)).cast("double")),
     "TZ": lambda v: _str(F.when(_time(v).isNotNull(), F.coalesce(F.regexp_extract(v.lex, r"(Z|[+-]\d\d:\d\d)$", 1), F.lit("")))),
+    "TIMEZONE": _timezone,
+    "BNODE": lambda: Val(TERM, F.concat(F.lit("_:b"), F.replace(F.uuid(), F.lit("-"), F.lit("")))),
     "NOW": lambda: Val(lit_type(DATETIME), F.current_timestamp()),
     "ISIRI": _kind(lambda v: ~F.startswith(v.col, F.lit('"')) & ~F.startswith(v.col, F.lit("_:")) if v.typ.kind == "term" else F.lit(v.typ.kind == "iri")),
     "ISLITERAL": _kind(lambda v: v.is_literal),

@@ -1,4 +1,4 @@
-"""Triples (and quads) in Parquet, partitioned by predicate and sorted by subject."""
+"""Triples (and quads) in Parquet, in two orders: by predicate and subject, and by object."""
 
 from __future__ import annotations
 
@@ -21,26 +21,30 @@ class PredicateStatistics:
 
 
 class TripleTable:
-    """quads: columns s, p, o (terms) and g (null outside of named graphs), without repeated rows."""
+    """quads: columns s, p, o (terms) and g (null outside of named graphs), without repeated rows; by_object: the same rows in the order of objects.
 
-    def __init__(self, spark: SparkSession, quads: DataFrame, statistics: dict[str, PredicateStatistics] | None = None, one_graph: bool = False):
-        self.spark, self.quads, self.statistics = spark, quads.select("s", "p", "o", "g"), statistics
-        self.one_graph = one_graph  # no triple is in two graphs, so that their union has no repeats
+    shared: predicates of triples that are in two graphs, so that a union of graphs may repeat them (None: any may be).
+    """
+
+    def __init__(self, spark: SparkSession, quads: DataFrame, statistics: dict[str, PredicateStatistics] | None = None, shared: frozenset[str] | None = None, by_object: DataFrame | None = None):
+        self.spark, self.quads, self.statistics, self.shared = spark, quads.select("s", "p", "o", "g"), statistics, shared
+        self.by_object = self.quads if by_object is None else by_object.select("s", "p", "o", "g")
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> TripleTable:
         quads = spark.read.parquet(f"{path}/quads")
         rows = spark.read.parquet(f"{path}/statistics").collect()  # a row for each predicate
-        return cls(spark, quads, {r.p: PredicateStatistics(r.triples, r.subjects, r.objects) for r in rows}, all(r.one_graph for r in rows))
+        shared = frozenset(r.p for r in rows if not r.one_graph)
+        return cls(spark, quads, {r.p: PredicateStatistics(r.triples, r.subjects, r.objects) for r in rows}, shared, spark.read.parquet(f"{path}/by_object"))
 
     @staticmethod
     def write(quads: DataFrame, path: str, partitions: int | None = None) -> None:
-        """Dealt by ranges of (p, s): a predicate that most triples have takes many tasks, a rare one shares a file."""
-        own = quads.select("s", "p", "o", "g").dropDuplicates()
-        keys = [F.col("p"), F.col("s")]
-        own = own.repartitionByRange(partitions, *keys) if partitions else own.repartitionByRange(*keys)
-        own.sortWithinPartitions("p", "s", "o").write.mode("overwrite").parquet(f"{path}/quads")
-        spark = quads.sparkSession
+        """Dealt by ranges of (p, s) and, once more, of (o, p, s): a predicate or an object that most triples have takes many tasks, a rare one shares a file."""
+        spark, own = quads.sparkSession, quads.select("s", "p", "o", "g").dropDuplicates()
+        for name, keys, order in (("quads", "ps", "pso"), ("by_object", "ops", "ops")):
+            dealt = own.repartitionByRange(partitions, *keys) if partitions else own.repartitionByRange(*keys)
+            dealt.sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{path}/{name}")
+            own = spark.read.parquet(f"{path}/quads")
         TripleTable.describe(spark.read.parquet(f"{path}/quads")).write.mode("overwrite").parquet(f"{path}/statistics")
 
     @staticmethod
@@ -77,8 +81,15 @@ class TripleTable:
             return n / max(1, len(self.statistics))
         return n / max(1, own.subjects if t.s == Var(var) else own.objects)
 
-    def _rows(self, scope: Scope) -> DataFrame:
-        df = self.quads
+    def _repeats(self, t: Triple, scope: Scope) -> bool:
+        """Whether the union of the scope's graphs may hold a triple of the pattern twice."""
+        if scope.default is not None and len(set(scope.default)) < 2:
+            return False
+        return self.shared is None or (t.p.value in self.shared if isinstance(t.p, Iri) else bool(self.shared))
+
+    def _rows(self, scope: Scope, t: Triple) -> DataFrame:
+        # a known object without a subject is sought where objects are in order
+        df = self.by_object if isinstance(t.s, Var) and not isinstance(t.o, Var) else self.quads
         if scope.graph is not None:
             return df.where(F.col("g") == scope.graph) if scope.allows(scope.graph) else df.where(F.lit(False))
         if scope.var is not None:
@@ -88,7 +99,7 @@ class TripleTable:
 
     def star(self, triples: list[Triple], scope: Scope) -> Solution:
         (t,) = triples
-        df, out = self._rows(scope), {}
+        df, out = self._rows(scope, t), {}
         for x, c in ((t.s, "s"), (t.p, "p"), (t.o, "o")):
             if not isinstance(x, Var):
                 df = df.where(matches(TERM, F.col(c), x))
@@ -101,7 +112,7 @@ class TripleTable:
                 df = df.where(F.col("g") == F.col(out[scope.var]))
             else:
                 out[scope.var] = "g"
-        elif scope.graph is None and not self.one_graph:
+        elif scope.graph is None and self._repeats(t, scope):
             df = df.select("s", "p", "o").distinct()  # the union of graphs is a set
         if not out:
             return guard(df)

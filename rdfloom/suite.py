@@ -217,6 +217,7 @@ _add("reduced", "SELECT REDUCED ?st WHERE { ?o t:o_orderstatus ?st }", "SELECT D
 _add("from_named", "SELECT ?g (COUNT(*) AS ?n) FROM NAMED g:region FROM NAMED g:nation WHERE { GRAPH ?g { ?x a ?c } } GROUP BY ?g",
      f"SELECT '{GRAPH}region' AS g, count(*) AS n FROM region UNION ALL SELECT '{GRAPH}nation', count(*) FROM nation")
 _add("iri_function", "SELECT (IRI(CONCAT('http://x/', ?n)) AS ?i) (URI('http://y/') AS ?u) WHERE { ?r t:r_name ?n }", "SELECT 'http://x/' || r_name AS i, 'http://y/' AS u FROM region")
+_add("fresh_blank_nodes", "SELECT ?n (isBlank(?b) AS ?blank) WHERE { ?r t:r_name ?n BIND(BNODE() AS ?b) }", "SELECT r_name AS n, true AS blank FROM region")
 _add("unary_plus_and_now", "SELECT (+?b AS ?p) (YEAR(NOW()) > 2000 AS ?later) WHERE { ?s t:s_acctbal ?b }", "SELECT s_acctbal AS p, true AS later FROM supplier")
 _add("limit_without_order", "SELECT (COUNT(*) AS ?n) WHERE { { SELECT ?c WHERE { ?c a t:Customer } LIMIT 17 } }", "SELECT least(17, count(*)) AS n FROM customer")
 _add("typed_literals", "SELECT (STR(STRDT(STR(?k), <http://www.w3.org/2001/XMLSchema#integer>)) AS ?a) (LANG(STRLANG(?n, 'en')) AS ?b) (STRLEN(STRUUID()) AS ?c) (RAND() < 1 AS ?d) (SHA1(?n) AS ?e) WHERE { ?p t:p_size ?k ; t:p_name ?n }",

@@ -119,6 +119,13 @@ def model_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cached(spark, sf_dir, lambda d: [d.cache_path(c) for c in chains if len(c) == 2], PATH)
 
 
+def timezones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Offsets of stored times; one without has none."""
+    times = [f"2024-01-02T03:04:05{z}" for z in ("+05:30", "-08:00", "Z", "")]
+    quads = spark.createDataFrame([("http://x/s", "http://x/at", f'"{x}"^^<{XSD}dateTime>') for x in times], "s string, p string, o string")
+    return Dataset.from_quads(spark, quads).query("SELECT (STR(?d) AS ?day) (STR(TIMEZONE(?d)) AS ?zone) WHERE { ?s <http://x/at> ?d }").df
+
+
 def _parsed(spark: SparkSession, sf_dir: str, form: str, read) -> DataFrame:
     r = _of(spark, sf_dir, "region", "nation").run(PROLOGUE + "SELECT ?nn ?rn WHERE { ?n t:n_name ?nn OPTIONAL { ?n t:n_region ?r . ?r t:r_name ?rn FILTER(?rn != 'ASIA') } }")
     try:
@@ -181,6 +188,7 @@ ORACLES = {
     "cached_class": "SELECT n_name AS name FROM nation",
     "model_paths": PATH_SQL,
     "result_ntriples": f"SELECT '{BASE}region/1' AS s, 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type' AS p, '{BASE}Region' AS o UNION ALL SELECT '{BASE}region/1', '{BASE}r_name', '\"' || r_name || '\"' FROM region WHERE r_regionkey = 1",
+    "timezones": "SELECT '2024-01-02T03:04:05' || column0 AS day, column1 AS zone FROM (VALUES ('+05:30', 'PT5H30M'), ('-08:00', '-PT8H'), ('Z', 'PT0S'), ('', NULL)) v(column0, column1)",
     "result_ask": "SELECT true AS json, true AS xml",
     "reservations": "SELECT * FROM (VALUES (1::BIGINT, 1, 256::BIGINT), (10000000, 2, 687), (4611686018427387904, 1, 4096)) v(size, width, mb)",
 }

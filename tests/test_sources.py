@@ -61,6 +61,20 @@ def test_store(spark, tmp_path):
     assert again.statistics()["http://x/p"].triples == 4 and again.estimate("SELECT * { ?s ?p ?o }") > 0
 
 
+def test_store_orders(spark, tmp_path):
+    """Objects are sought in their own order; only predicates of triples that two graphs share are made distinct."""
+    lines = [f"<http://x/s{i}> <http://x/{p}> <http://x/o{i % 7}> ." for i in range(50) for p in "pq"]
+    (tmp_path / "x.nt").write_text("\n".join(lines))
+    (tmp_path / "y.nq").write_text("<http://x/s1> <http://x/q> <http://x/o1> <http://x/g> .\n")
+    data = Dataset.build(spark, [str(tmp_path / "x.nt"), str(tmp_path / "y.nq")], str(tmp_path / "store"), report=False)
+    texts = {p: f"SELECT ?s WHERE {{ ?s <http://x/{p}> <http://x/o1> }}" for p in "pq"}
+    plans = {p: data.explain(t) for p, t in texts.items()}
+    assert all("store/by_object" in x and "store/quads" not in x for x in plans.values()) and "store/quads" in data.explain("SELECT ?o { <http://x/s1> <http://x/p> ?o }")
+    assert "Aggregate" not in plans["p"] and "Aggregate" in plans["q"]
+    want = sorted(f"http://x/s{i}" for i in range(50) if i % 7 == 1)
+    assert all(sorted(r[0] for r in data.query(t).rows()) == want for t in texts.values())
+
+
 def test_pushdown_and_pruning(spark):
     data = Dataset.from_tables(spark, mapping.tables(), "/root/testdata/sf0.001")
     plan = data.explain("PREFIX t: <http://example.org/tpch/> SELECT ?n { ?p t:p_name ?n ; t:p_size 7 }")
