@@ -24,6 +24,10 @@ def _exists(e) -> bool:
     return isinstance(e, Exists) or any(_exists(c) for c in children(e))
 
 
+def _calls(e) -> set[str]:
+    return ({e.name} if isinstance(e, Call) else set()).union(*map(_calls, children(e)))
+
+
 def conjunction(parts: list):
     out = None
     for p in parts:
@@ -31,6 +35,10 @@ def conjunction(parts: list):
     return out
 
 
+#: How many equal rows a row stands for, in out and in what is joined to it.
+WEIGHT, OTHER = "_weight", "_weight_of_other"
+
+
 class Compiler:
     """source: MappedTables or TripleTable. max_cross: bytes that Catalyst may expect of the smaller side of a product of unrelated patterns."""
 
@@ -84,14 +92,19 @@ class Compiler:
                 raise QueryError("the patterns share no variable and their product is too large; join them, or raise max_cross")
         return join(a, b)
 
-    def bgp(self, triples: tuple[Triple, ...], scope: Scope) -> Solution:
-        """Stars joined in the order of least expected rows; a path where no star that is left is connected, or at the end."""
+    def bgp(self, triples: tuple[Triple, ...], scope: Scope, needed: set[str] | None = None) -> Solution:
+        """Stars joined in the order of least expected rows; a path where no star that is left is connected, or at the end.
+
+        needed: the variables that the rest of the query names, if rows are only counted beyond them. Sides that would multiply are then grouped
+        before their join by what is still to be named, and WEIGHT says how many rows each stands for.
+        """
         plain = tuple(t for t in triples if isinstance(t.p, Iri | Var))
         stars = self.ordered(self.source.groups(plain), scope)
         paths = [t for t in triples if not isinstance(t.p, Iri | Var)]
         ends = lambda t: {x.name for x in (t.s, t.o) if isinstance(x, Var)}
         out = None
         bound: set[str] = set()
+        rows_of: set[str] = set()  # a variable whose values occur once in out, as far as a subject has one row
         while stars or paths:
             g = next((g for g in stars if out is None or self.names(g) & bound), None)
             t = next((t for t in paths if ends(t) & bound), None) if g is None else None
@@ -103,10 +116,35 @@ class Compiler:
             else:
                 paths.remove(t)
                 x = self.path(t, scope, out)
+            if needed is not None and g is not None:
+                s, own = {g[0].s.name} if isinstance(g[0].s, Var) else set(), self.names(g)
+                if out is not None and s and not s & bound and not rows_of & own:  # many on both sides
+                    later = needed.union(*map(self.names, stars), *map(ends, paths))
+                    out, x = self.weighed(out, later | own, WEIGHT), self.weighed(x, later | bound, OTHER)
+                    rows_of = set()
+                elif out is None or not s & bound:
+                    rows_of = s
+            else:
+                rows_of = set()
             out = x if out is None else self.product(out, x)
+            if OTHER in out.types:
+                both = column(WEIGHT) * column(OTHER) if WEIGHT in out.types else column(OTHER)
+                types = {n: t for n, t in out.types.items() if n != OTHER} | {WEIGHT: out.types[OTHER]}
+                out = Solution(out.df.withColumn(name_of(WEIGHT), both), types, out.certain | {WEIGHT}).only(types)
             bound |= self.names(g) if g is not None else set(x.types)
         return out if out is not None else unit(self.spark)
 
+    @staticmethod
+    def weighed(x: Solution, keep: set[str], weight: str) -> Solution:
+        """x grouped by the variables to keep, with the number of its rows as weight; x itself if it has no others."""
+        names = [n for n in x.types if n in keep]
+        if all(n in keep or n == WEIGHT for n in x.types):
+            return x
+        n = F.sum(column(WEIGHT)) if WEIGHT in x.types else F.count(F.lit(1))
+        df = x.df.groupBy(*(column(k) for k in names)).agg(n.alias(name_of(weight)))
+        df = df if names else df.where(column(weight) > 0)  # no rows are no group
+        return Solution(df, {k: x.types[k] for k in names} | {weight: lit_type(INTEGER)}, x.certain & set(names) | {weight})
+
     @staticmethod
     def names(g: list[Triple]) -> set[str]:
         return {x.name for t in g for x in (t.s, t.p, t.o) if isinstance(x, Var)}
@@ -289,7 +327,8 @@ class Compiler:
             x = counted
             df = x.df.offset(q.offset) if q.offset else x.df
             return Solution(df.limit(q.limit) if q.limit is not None else df, x.types, x.certain)
-        x = self.pattern(q.where, scope)
+        needed = self.named_beyond_counts(q)
+        x = self.pattern(q.where, scope) if needed is None else self.counted(q.where, scope, needed | ({scope.var} if scope.var else set()))
         items, having, order = list(q.items), list(q.having), list(q.order)
         if q.group is not None or any(aggregates(e) for _, e in items if e is not None) or any(aggregates(e) for e in having) or any(aggregates(e) for e, _ in order):
             x, swap = self.grouped(x, q, scope)
@@ -384,6 +423,29 @@ class Compiler:
         df = rows.agg(product.alias("n")).select(*(F.col("n").alias(name_of(n)) for n, _ in q.items))
         return Solution(df, {n: lit_type(INTEGER) for n, _ in q.items}, {n for n, _ in q.items})
 
+    @staticmethod
+    def named_beyond_counts(q: Query) -> set[str] | None:
+        """Variables of keys, filters and such aggregates as don't see repeats, of a basic graph pattern whose rows are counted otherwise; None for other queries."""
+        p, filters = q.where, []
+        while isinstance(p, Filter):
+            filters.append(p.condition)
+            p = p.of
+        keys = [e for _, e in q.group or []]
+        found = [a for e in [e for _, e in q.items if e is not None] + q.having + [e for e, _ in q.order] for a in aggregates(e)]
+        plain = [a for a in found if a.name == "COUNT" and not a.distinct and (a.arg is None or isinstance(a.arg, Var) and a.arg.name in variables(p))]
+        rest = [a for a in found if a not in plain]
+        if not isinstance(p, Bgp) or not plain or any(a.arg is None or not a.distinct and a.name not in ("MIN", "MAX", "SAMPLE") for a in rest):
+            return None
+        exprs = [*keys, *filters, *(a.arg for a in rest)]
+        if any(_exists(e) or _calls(e) & {"RAND", "UUID", "STRUUID", "BNODE"} for e in exprs):  # one value for each row
+            return None
+        return set().union(*map(expr_vars, exprs))
+
+    def counted(self, p, scope: Scope, needed: set[str]) -> Solution:
+        if isinstance(p, Filter):
+            return self.filter(self.counted(p.of, scope, needed), p.condition, scope)
+        return self.bgp(p.triples, scope, needed)
+
     def grouped(self, x: Solution, q: Query, scope: Scope) -> tuple[Solution, dict]:
         """Groups with hidden columns for keys and aggregates; and what stands for each expression in the rest of the query."""
         swap: dict = {}
@@ -410,10 +472,12 @@ class Compiler:
 
     @staticmethod
     def aggregate(a: Agg, values: Expressions, x: Solution) -> tuple:
-        if a.arg is None:
+        if a.arg is None and not (WEIGHT in x.types and not a.distinct):
             if not a.distinct or not x.types:
                 return lit_type(INTEGER), F.count(F.lit(1))
             return lit_type(INTEGER), F.count_distinct(F.struct(*(column(n) for n in sorted(x.types))))
+        if a.name == "COUNT" and not a.distinct and WEIGHT in x.types:  # its variable is bound in every row
+            return lit_type(INTEGER), F.coalesce(F.sum(column(WEIGHT)), F.lit(0).cast("long"))
         v = values.value(a.arg)
         if a.name == "COUNT":
             c = v.col

@@ -182,3 +182,29 @@ def test_own_function(cycle):
 
     expressions.register(X + "shout", lambda v: expressions.Val(v.typ, F.upper(v.lex)) if v.typ.kind != "term" else expressions.Val(expressions.lit_type(expressions.STRING), F.upper(v.lex)))
     assert ask(cycle, "SELECT DISTINCT (:shout('hi') AS ?h) { ?x :q ?y }") == [('"HI"',)]
+
+
+def test_counts_of_rows_that_multiply(spark):
+    """Customers and suppliers of a nation: 4 * 10^12 pairs are counted without being made."""
+    from rdfloom import mapping
+
+    n = 2_000_000
+    frames = {
+        "nation": spark.createDataFrame([(0, "here", 0), (1, "there", 0)], "n_nationkey int, n_name string, n_regionkey int"),
+        "customer": spark.range(n).selectExpr("id AS c_custkey", "'c' AS c_name", "0 AS c_nationkey", "1.0D AS c_acctbal", "'m' AS c_mktsegment"),
+        "supplier": spark.range(n).selectExpr("id AS s_suppkey", "'s' AS s_name", "0 AS s_nationkey", "1.0D AS s_acctbal"),
+    }
+    data = Dataset.from_tables(spark, [t for t in mapping.tables() if t.name in frames], frames=frames)
+    where = f"PREFIX t: <{mapping.BASE}> SELECT ?nn (COUNT(*) AS ?a) (COUNT(?c) AS ?b) (COUNT(DISTINCT ?n) AS ?d) (MAX(?nn) AS ?m) {{ ?c t:c_nation ?n . ?s t:s_nation ?n . ?n t:n_name ?nn FILTER(%s) }} GROUP BY ?nn HAVING(COUNT(*) > 1)"
+    assert [tuple(r) for r in data.query(where % "?nn != 'there'").df.collect()] == [("here", n * n, n * n, 1, "here")]
+    assert data.query(where % "?nn = 'there'").df.collect() == []
+
+
+def test_weights_of_counted_rows(spark):
+    data = graph(spark, "a p x\na p y\nb p x\nc q x\nd q x\nd q y\ne q z\nx r u\nx r v\ny r u")
+    assert ask(data, "SELECT (COUNT(*) AS ?n) { ?a :p ?k . ?b :q ?k }") == [(f'"5{INT}',)]  # 2 * 2 + 1 * 1
+    assert ask(data, "SELECT ?k (COUNT(?a) AS ?n) { ?a :p ?k . ?b :q ?k . ?k :r ?u } GROUP BY ?k") == [("x", f'"8{INT}'), ("y", f'"1{INT}')]
+    assert ask(data, "SELECT ?b (COUNT(*) AS ?n) (COUNT(DISTINCT ?a) AS ?d) { ?a :p ?k . ?b :q ?k . ?c :p ?k } GROUP BY ?b") == [("c", f'"4{INT}', f'"2{INT}'), ("d", f'"5{INT}', f'"2{INT}')]
+    assert ask(data, "SELECT (COUNT(*) AS ?n) { ?a :p ?k . ?b :q ?k FILTER(?a != ?b && ?a = :a) }") == [(f'"3{INT}',)]
+    assert ask(data, "SELECT (COUNT(*) AS ?n) { ?a :p ?k . ?b :nothing ?k }") == [(f'"0{INT}',)]
+    assert ask(data, "SELECT (COUNT(*) AS ?n) (SUM(?one) AS ?s) { ?a :p ?k . ?b :q ?k BIND(1 AS ?one) }") == [(f'"5{INT}', f'"5{INT}')]
