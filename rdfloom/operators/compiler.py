@@ -12,7 +12,7 @@ from rdfloom.functions.expressions import Expressions, Val, unified
 from rdfloom.functions.terms import DOUBLE, INTEGER, STRING, TERM, constant, convert, lit_type, matches, to_term
 from rdfloom.operators.paths import O, Paths, S
 from rdfloom.operators.solution import Solution, column, empty, guard, join, left_join, name_of, null_of, semi_join, union, unit
-from rdfloom.plans.algebra import UNIT, Agg, Bgp, Call, Exists, Extend, Filter, Graph, Iri, Join, LeftJoin, Minus, Query, Repeat, Seq, SubSelect, Triple, Union, Values, Var, aggregates, children, expr_vars, replace, variables
+from rdfloom.plans.algebra import UNIT, Agg, Bgp, Call, Exists, Extend, Filter, Graph, Iri, Join, LeftJoin, Minus, Query, Repeat, Seq, SubSelect, Triple, Union, Values, Var, aggregates, children, expr_vars, mentioned, replace, variables
 from rdfloom.sources.scope import Scope
 
 
@@ -231,27 +231,59 @@ class Compiler:
             # what concerns the right side alone can be filtered there
             parts, known = conjuncts(condition), set(right.types)
             # an EXISTS may share with the left what the right side has too, and binds the rest itself
-            own = [c for c in parts if (expr_vars(c) & set(left.types) <= known if _exists(c) else expr_vars(c) <= known - set(left.types))]
+            own = [c for c in parts if (mentioned(c) & set(left.types) <= known if _exists(c) else expr_vars(c) <= known - set(left.types))]
             if own:
                 right = self.filter(right, conjunction(own), scope)
             rest = [c for c in parts if c not in own]
+            names, ahead = list(left.types), [c for c in rest if _exists(c) and not mentioned(c) & set(right.types) - left.certain]
+            if ahead:
+                left, flag = self.decided(left, conjunction(ahead), scope)
+                # few rows may meet many: they are dealt out first, as the size of their files doesn't tell
+                left = Solution(left.df.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions"))), left.types, left.certain)
+                rest = [Var(flag), *(c for c in rest if c not in ahead)]
             if any(_exists(c) for c in rest):
-                return self.optional_if(left, right, conjunction(rest), scope)
-            condition = conjunction(rest)
+                out = self.optional_if(left, right, conjunction(rest), scope)
+            else:
+                out = left_join(left, right, conjunction(rest))
+            return out.only([*names, *(n for n in right.types if n not in names)]) if ahead else out
         return left_join(left, right, condition)
 
+    def decided(self, x: Solution, condition, scope: Scope) -> tuple[Solution, str]:
+        """x with a flag for what the condition, an EXISTS that x alone decides, is for each row: before x meets an OPTIONAL, and not on pairs."""
+        self.counter += 1
+        flag, names = f"_holds{self.counter}", list(x.types)
+        try:
+            y, exists = self.flags(x, [condition], scope)
+            holds = y.expressions(exists).truth(condition)
+        except UnsupportedError:  # filters on the outer row, or unbound variables: sought for different rows, which then meet their rows
+            mark, once = self.marked(x)
+            found = self.filter(once, condition, scope)
+            rows = found.df.select(*(column(m).alias(name_of(m)) for m in mark.values()), F.lit(True).alias(name_of(flag)))
+            y, holds = Solution(x.df.join(rows, self.same(mark), "left"), x.types, x.certain), column(flag)
+        df = y.df.withColumn(name_of(flag), F.coalesce(holds, F.lit(False)))
+        return Solution(df, {**y.types, flag: lit_type("http://www.w3.org/2001/XMLSchema#boolean")}, y.certain | {flag}).only([*names, flag]), flag
+
+    @staticmethod
+    def marked(x: Solution) -> tuple[dict[str, str], Solution]:
+        """Different rows of x with a copy of each variable, and the names of the copies."""
+        mark = {n: f"_left_{n}" for n in x.types}
+        return mark, Solution(x.df.distinct().select("*", *(column(n).alias(name_of(m)) for n, m in mark.items())), {**x.types, **{m: x.types[n] for n, m in mark.items()}}, x.certain | {mark[n] for n in x.certain})
+
+    @staticmethod
+    def same(mark: dict[str, str]) -> Column:
+        on = F.lit(True)
+        for i, (n, m) in enumerate(mark.items()):
+            one = column(n).eqNullSafe(column(m))
+            on = on & one if i else one
+        return on
+
     def optional_if(self, left: Solution, right: Solution, condition, scope: Scope) -> Solution:
         """OPTIONAL whose condition holds an EXISTS that names the left side: it is decided on the joined rows of different left ones, which then meet their left rows."""
-        mark = {n: f"_left_{n}" for n in left.types}
-        once = Solution(left.df.distinct().select("*", *(column(n).alias(name_of(m)) for n, m in mark.items())), {**left.types, **{m: left.types[n] for n, m in mark.items()}}, left.certain | {mark[n] for n in left.certain})
+        mark, once = self.marked(left)
         found = self.filter(join(once, right), condition, scope)
         names = [n for n in found.types if n not in mark.values()]
         cols = [column(n).alias(name_of(n, "r")) for n in names] + [column(m).alias(name_of(m)) for m in mark.values()]
-        same = [column(n).eqNullSafe(column(m)) for n, m in mark.items()] or [F.lit(True)]
-        on = same[0]
-        for c in same[1:]:
-            on = on & c
-        df = left.df.join(found.df.select(*cols), on, "left")
+        df = left.df.join(found.df.select(*cols), self.same(mark), "left")
         out = [(F.coalesce(column(n, "r"), convert(left.types[n], column(n), found.types[n])) if n in left.types else column(n, "r")).alias(name_of(n)) for n in names]
         return Solution(df.select(*out), {n: found.types[n] for n in names}, set(left.certain))
 

@@ -234,3 +234,13 @@ def variables(x: Any) -> set[str]:
         q = x.query
         return {v for v in variables(q.where) if not Var(v).hidden} if q.star else {n for n, _ in q.items}
     raise TypeError(type(x).__name__)
+
+
+def mentioned(x: Any) -> set[str]:
+    """All variables that a pattern or an expression names, inside of filters, EXISTS and subselects too."""
+    if isinstance(x, Var):
+        return {x.name}
+    if isinstance(x, tuple | list):
+        return set().union(*map(mentioned, x))
+    names = {x.var} if isinstance(x, Extend) else set(x.names) if isinstance(x, Values) else {n for n, _ in x.query.items} if isinstance(x, SubSelect) else set()
+    return names.union(*(mentioned(getattr(x, f)) for f in getattr(x, "__dataclass_fields__", ())))
