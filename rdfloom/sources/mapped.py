@@ -207,8 +207,8 @@ class MappedTables:
             return guard(df)
         return Solution(df.select(*(c.alias(name_of(n)) for n, (_, c) in out.items())), {n: typ for n, (typ, _) in out.items()}, set(out))
 
-    def _any_predicate(self, t: Table, tr: Triple, scope: Scope) -> Solution | None:
-        """?p in a triple: one scan, with a row for each column that has a value."""
+    def _any_predicate(self, t: Table, tr: Triple, scope: Scope, rows: DataFrame | None = None) -> Solution | None:
+        """?p in a triple: one scan, with a row for each column that has a value; rows: those of the table that matter."""
         typ, key = self.subject(t)
         pairs = [F.struct(F.lit(p).alias("p"), to_term(*self.object(t, own)).alias("o")) for p, own in t.props.items()]
         if t.cls:
@@ -219,7 +219,7 @@ class MappedTables:
                 return None
             df = self.frame(t).where(hit)
         else:
-            df = self.frame(t)
+            df = self.frame(t) if rows is None else rows
         df = df.select(key.alias("s"), F.inline(F.array(*pairs))).where("o is not null")
         out: dict[str, tuple[Typ, Column]] = {}
         conditions: list[Column] = []
@@ -234,8 +234,31 @@ class MappedTables:
 
     def triples(self, scope: Scope, subjects: Solution | None = None) -> DataFrame:
         """(s, p, o) terms; subjects: one variable, s, of those wanted."""
-        s, p, o = Var("s"), Var("p"), Var("o")
-        out = self.star([Triple(s, p, o)], Scope(scope.default, scope.named))
-        if subjects is not None:
-            out = join(out, subjects)
+        tr, inner = Triple(Var("s"), Var("p"), Var("o")), Scope(scope.default, scope.named)
+        if subjects is None:
+            out = self.star([tr], inner)
+        else:
+            found = [(t, rows) for t in self.tables if inner.allows(t.graph) and (rows := self._wanted(t, subjects)) is not None]
+            parts = [x for t, rows in found if (x := self._any_predicate(t, tr, inner, rows)) is not None]
+            out = union(parts) if parts else empty(self.spark, "spo")
         return out.df.select(*(to_term(out.types[n], column(n)).alias(n) for n in "spo"))
+
+    def _wanted(self, t: Table, subjects: Solution) -> DataFrame | None:
+        """Rows of a table that are subjects, found by native keys before they become triples; None if no IRI of the template can be one."""
+        (mine, key), theirs, c = self.subject(t), subjects.types["s"], column("s")
+        if theirs != mine:
+            if theirs.kind in ("lit", "lang") or theirs.kind == "iri" and _apart(mine.of, theirs.of):
+                return None
+            before, _, after = mine.of.partition("{}")
+            term = to_term(theirs, c)
+            text = F.substring(term, F.lit(len(before) + 1), F.length(term) - len(before) - len(after))
+            c = text.try_cast("long") if mine.key == "long" else text
+            c = F.when(F.startswith(term, F.lit(before)) & F.endswith(term, F.lit(after)) & (F.concat(F.lit(before), c.cast("string"), F.lit(after)) == term), c)
+        wanted = subjects.df.select(c.alias("_wanted"))
+        return self.frame(t).join(wanted, key == F.col("_wanted"), "left_semi")
+
+
+def _apart(a: str, b: str) -> bool:
+    """Whether no IRI is of both templates."""
+    (x, _, u), (y, _, v) = a.partition("{}"), b.partition("{}")
+    return not (x.startswith(y) or y.startswith(x)) or not (u.endswith(v) or v.endswith(u))

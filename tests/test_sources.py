@@ -223,3 +223,40 @@ def test_join_order_avoids_early_products(spark):
     order = [{t.p.value.rpartition("/")[2] for t in g} for g in data.compiler().ordered(groups, Scope())]
     place = lambda p: next(i for i, g in enumerate(order) if p in g)
     assert place("l_order") < max(place("s_nation"), place("c_nation"))
+
+
+def test_store_is_written_in_bounded_tasks(spark, tmp_path):
+    """No task collects what it reads before triples are dealt; repeats are left out, and triples of two graphs known."""
+    from pyspark.sql import functions as F
+
+    from rdfloom.sources.triples import TripleTable
+
+    n = 300_000
+    rows = spark.range(0, n, 1, 1).selectExpr("concat('http://example.org/subject/of/some/length/', id) AS s", "'http://example.org/p' AS p", "concat('\"object ', id, '\"') AS o", "'http://example.org/graph' AS g")
+    few = spark.createDataFrame([("http://x/a", "http://x/q", "http://x/b", g) for g in (None, None, "http://x/g", "http://x/g")] + [("http://x/a", "http://x/r", f"http://x/{g}", f"http://x/{g}") for g in "gh"], "s string, p string, o string, g string")
+    quads = rows.union(few)
+    plan = TripleTable.once(quads)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Aggregate" not in plan.partition("rangepartitioning")[2] and plan.count("Sort ") == 1, plan
+    TripleTable.write(quads, str(tmp_path / "store"))
+    data = Dataset.open(spark, str(tmp_path / "store"))
+    assert data.source.quads.count() == n + 4 and data.source.by_object.count() == n + 4
+    assert data.source.shared == {"http://x/q"} and {p.removeprefix("http://"): x.triples for p, x in data.statistics().items()} == {"example.org/p": n, "x/q": 2, "x/r": 2}
+    order = spark.read.parquet(str(tmp_path / "store" / "quads")).withColumn("f", F.input_file_name()).groupBy("f").agg(F.collect_list(F.concat("p", "s", "o")).alias("x"))
+    assert order.where("x != array_sort(x)").count() == 0
+
+
+def test_describe_reads_only_tables_of_the_subjects(spark):
+    from rdfloom import suite
+
+    data = suite.dataset(spark, "/root/testdata/sf0.001")
+    plan = data.explain(suite.QUERIES["describe_var"])
+    assert "nation.parquet" in plan and not any(f"{t}.parquet" in plan for t in ("lineitem", "orders", "customer", "pages"))
+    text = "PREFIX t: <http://example.org/tpch/> DESCRIBE %s WHERE { ?l t:l_order <http://example.org/tpch/order/3> . ?l t:l_order ?o . ?o t:o_customer ?c }"
+    all_, want = data.quads(), {}
+    for vars_ in ("?o", "?l ?c", "?c <http://example.org/tpch/nation/3>"):
+        subjects = {v for r in data.query(text.replace("DESCRIBE %s", "SELECT *") ).rows() for v in r} if not want else None
+        want = want or subjects
+        got = {tuple(r) for r in data.query(text % vars_).df.collect()}
+        kinds = {"?o": ("/order/",), "?l ?c": ("/line/", "/customer/")}.get(vars_, ("/customer/",))
+        own = [s for s in want if any(k in s for k in kinds)] + (["http://example.org/tpch/nation/3"] if "nation" in vars_ else [])
+        assert got and got == {tuple(r) for r in all_.where(all_.s.isin(own)).select("s", "p", "o").collect()}
