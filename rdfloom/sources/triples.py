@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rdfloom.functions.terms import TERM, matches
@@ -40,18 +40,27 @@ class TripleTable:
     @staticmethod
     def write(quads: DataFrame, path: str, partitions: int | None = None) -> None:
         """Dealt by ranges of (p, s) and, once more, of (o, p, s): a predicate or an object that most triples have takes many tasks, a rare one shares a file."""
-        spark, own = quads.sparkSession, quads.select("s", "p", "o", "g").dropDuplicates()
-        for name, keys, order in (("quads", "ps", "pso"), ("by_object", "ops", "ops")):
-            dealt = own.repartitionByRange(partitions, *keys) if partitions else own.repartitionByRange(*keys)
-            dealt.sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{path}/{name}")
-            own = spark.read.parquet(f"{path}/quads")
+        spark = quads.sparkSession
+        TripleTable.once(quads, partitions).write.mode("overwrite").parquet(f"{path}/quads")
+        own = spark.read.parquet(f"{path}/quads")
+        dealt = own.repartitionByRange(partitions, *"ops") if partitions else own.repartitionByRange(*"ops")
+        dealt.sortWithinPartitions(*"ops").write.mode("overwrite").parquet(f"{path}/by_object")
         TripleTable.describe(spark.read.parquet(f"{path}/quads")).write.mode("overwrite").parquet(f"{path}/statistics")
 
+    @staticmethod
+    def once(quads: DataFrame, partitions: int | None = None) -> DataFrame:
+        """Different quads in the order of (p, s, o), dealt by ranges of (p, s). Repeats meet in a range as neighbours, and the first is kept: no task holds what it has read to find them."""
+        own = quads.select("s", "p", "o", "g")
+        dealt = own.repartitionByRange(partitions, *"ps") if partitions else own.repartitionByRange(*"ps")
+        same = Window.partitionBy(*"psog").orderBy("p")
+        return dealt.withColumn("n", F.row_number().over(same)).where("n = 1").drop("n").sortWithinPartitions(*"pso")
+
     @staticmethod
     def describe(quads: DataFrame) -> DataFrame:
         """Rows, subjects and objects of each predicate (the last two approximate), and whether no triple is in two graphs."""
         per = quads.groupBy("p").agg(F.count(F.lit(1)).alias("triples"), F.approx_count_distinct("s").alias("subjects"), F.approx_count_distinct("o").alias("objects"))
-        many = quads.groupBy("s", "p", "o").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("p").distinct().withColumn("many", F.lit(True))
+        mixed = quads.groupBy("p", "g").agg(F.lit(1).alias("one")).groupBy("p").agg(F.count(F.lit(1)).alias("graphs")).where("graphs > 1").select("p")
+        many = quads.join(mixed, "p", "left_semi").groupBy("s", "p", "o").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("p").distinct().withColumn("many", F.lit(True))
         return per.join(many, "p", "left").select("p", "triples", "subjects", "objects", F.col("many").isNull().alias("one_graph"))
 
     def graphs(self) -> list[str]:
