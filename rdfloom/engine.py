@@ -10,6 +10,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rdfloom.checkpoints import fresh_folder
 from rdfloom.config import Settings
 from rdfloom.errors import QueryError, QueryTimeout
 from rdfloom.functions.terms import TERM, Typ, to_term
@@ -80,8 +81,8 @@ class Dataset:
 
     @classmethod
     def load(cls, spark: SparkSession, inputs: list, report: bool = False, settings: Settings | None = None) -> Dataset:
-        """N-Triples and N-Quads files; gzip too."""
-        return cls.from_quads(spark, ntriples.read(spark, inputs, report), settings)
+        """N-Triples and N-Quads files; gzip too. They are parsed once, into a store in the folder that all executors share, which patterns and statistics read."""
+        return cls.build(spark, inputs, fresh_folder(spark), report, settings)
 
     @classmethod
     def build(cls, spark: SparkSession, inputs: list, path: str, report: bool = True, settings: Settings | None = None) -> Dataset:

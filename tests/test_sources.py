@@ -260,3 +260,15 @@ def test_describe_reads_only_tables_of_the_subjects(spark):
         kinds = {"?o": ("/order/",), "?l ?c": ("/line/", "/customer/")}.get(vars_, ("/customer/",))
         own = [s for s in want if any(k in s for k in kinds)] + (["http://example.org/tpch/nation/3"] if "nation" in vars_ else [])
         assert got and got == {tuple(r) for r in all_.where(all_.s.isin(own)).select("s", "p", "o").collect()}
+
+
+def test_loaded_files_are_parsed_once(spark, tmp_path):
+    """Patterns and statistics of loaded files read a store, not the text again."""
+    (tmp_path / "x.nq").write_text(TEXT)
+    data = Dataset.load(spark, [str(tmp_path / "x.nq"), str(tmp_path / "x.nq")])
+    text = "SELECT ?o ?q { ?s <http://x/p> ?o . ?s <http://x/p> ?q }"
+    plan = data.explain(text)
+    assert "Scan text" not in plan and plan.count("Scan parquet") >= 2
+    (tmp_path / "x.nq").unlink()
+    assert data.query(text).df.count() == 10 and data.statistics()["http://x/p"].triples == 4
+    assert data.graphs() == ["http://x/g"]
