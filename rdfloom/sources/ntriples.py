@@ -77,8 +77,9 @@ def _term(c: Column) -> Column:
 def parse(lines: DataFrame, graph: str | None = None, quads: bool = False) -> DataFrame:
     """(s, p, o, g, bad, line) of a column of lines; comments and blank lines are left out, bad ones flagged."""
     text = lines.toDF("line").where(~F.col("line").rlike(r"^\s*(?:#.*)?$"))
-    part = lambda i: F.regexp_extract("line", LINE, i)
-    ok = F.col("line").rlike(LINE)
+    text = text.select("line", *(F.regexp_extract("line", LINE, i).alias(f"part{i}") for i in range(1, 5)))  # once for all that is made of them
+    part = lambda i: F.col(f"part{i}")
+    ok = part(1) != ""
     own = F.when(part(4) != "", _term(part(4))) if quads else F.lit(None).cast("string")
     g = F.coalesce(own, F.lit(graph)) if graph and not quads else own
     if not quads:
